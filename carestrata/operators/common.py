@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from carestrata.functions.scalars import full_name
 
-# A top-k result this small is broadcast to the table that decorates it; a larger k joins normally.
+# Rows of a top-k result, up to which it is broadcast to the table that decorates it.
 BROADCAST_ROWS = 10_000
 
 def person_name() -> Column:
@@ -22,10 +22,17 @@ def counted(df: DataFrame, column: str, count: str = "count") -> DataFrame:
             .orderBy(F.desc(count), F.asc_nulls_last(column)))
 
 
-def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """First ``k`` rows, ready to be the small side of a join."""
-    chosen = df.orderBy(*order).limit(k)
-    return F.broadcast(chosen) if k <= BROADCAST_ROWS else chosen
+def top_with(df: DataFrame, order: Sequence[Column], k: int,
+             *parents: tuple[DataFrame, str]) -> DataFrame:
+    """First ``k`` rows in order, each with the columns of its parents.
+
+    The rows are chosen first. A parent's key is unique, so there are never more than ``k`` of
+    them, and the big parent tables are read where they lie instead of being shuffled.
+    """
+    rows = df.orderBy(*order).limit(k)
+    for parent, key in parents:
+        rows = parent.join(F.broadcast(rows) if k <= BROADCAST_ROWS else rows, key)
+    return rows.orderBy(*order)
 
 
 def named_patients(patients: DataFrame, *extra: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carestrata.functions.scalars import as_date, days_between, mean_of, percent
-from carestrata.operators.common import counted, for_patient, named_patients, person_name, top
+from carestrata.operators.common import counted, for_patient, named_patients, person_name, top_with
 
 
 def encounters_by_type(encounters: DataFrame) -> DataFrame:
@@ -16,11 +16,11 @@ def encounters_by_type(encounters: DataFrame) -> DataFrame:
 def recent_encounters(encounters: DataFrame, patients: DataFrame, providers: DataFrame,
                       k: int = 20) -> DataFrame:
     order = [F.desc("admission_date"), F.asc("encounter_id")]
-    latest = top(encounters.select("encounter_id", "patient_id", "provider_id", "encounter_type",
-                                   "admission_date", "disposition"), order, k)
-    return (named_patients(patients, "mrn").join(latest, "patient_id")
-            .join(providers.select("provider_id", person_name().alias("provider_name")), "provider_id")
-            .orderBy(*order)
+    listed = encounters.select("encounter_id", "patient_id", "provider_id", "encounter_type",
+                               "admission_date", "disposition")
+    return (top_with(listed, order, k, (named_patients(patients, "mrn"), "patient_id"),
+                     (providers.select("provider_id", person_name().alias("provider_name")),
+                      "provider_id"))
             .select("encounter_id", "mrn", "patient_name", "provider_name", "encounter_type",
                     "admission_date", "disposition"))
 
@@ -61,10 +61,9 @@ def frequent_visitors(encounters: DataFrame, patients: DataFrame, as_of, months:
     recent = encounters.filter((F.col("admission_date") >= F.add_months(end, -months))
                                & (F.col("admission_date") < F.date_add(end, 1)))
     order = [F.desc("encounter_count"), F.asc("patient_id")]
-    busiest = top(recent.groupBy("patient_id").agg(
-        F.count("*").alias("encounter_count"), F.max("admission_date").alias("last_admission")),
-        order, k)
-    return (named_patients(patients, "mrn").join(busiest, "patient_id").orderBy(*order)
+    visits = recent.groupBy("patient_id").agg(
+        F.count("*").alias("encounter_count"), F.max("admission_date").alias("last_admission"))
+    return (top_with(visits, order, k, (named_patients(patients, "mrn"), "patient_id"))
             .select("patient_id", "mrn", "patient_name", "encounter_count", "last_admission"))
 
 

@@ -9,7 +9,7 @@ from carestrata.functions.labels import flag_label
 from carestrata.functions.predicates import abnormal, patient_search
 from carestrata.functions.scalars import as_date, percent
 from carestrata.functions.series import previous_in_steps
-from carestrata.operators.common import for_patient, ids, named_patients, person_name, top
+from carestrata.operators.common import for_patient, ids, named_patients, person_name, top_with
 
 _MEASURE = ["result_value", "unit", "reference_low", "reference_high", "abnormal_flag"]
 
@@ -24,16 +24,21 @@ def _newest() -> list[Column]:
 
 def abnormal_labs(labs: DataFrame, patients: DataFrame, k: int = 200) -> DataFrame:
     """Latest abnormal results; the ``k`` rows are chosen before patients are joined."""
-    latest = top(labs.filter(abnormal()).select("lab_id", "patient_id", "test_name",
-                                                "collected_date", *_MEASURE), _newest(), k)
-    return (named_patients(patients).join(latest, "patient_id").orderBy(*_newest())
+    flagged = labs.filter(abnormal()).select("lab_id", "patient_id", "test_name", "collected_date",
+                                             *_MEASURE)
+    return (top_with(flagged, _newest(), k, (named_patients(patients), "patient_id"))
             .select("patient_name", "test_name", "collected_date", *_MEASURE))
 
 
 def lab_kpis(labs: DataFrame) -> DataFrame:
-    return labs.agg(
-        F.count("*").alias("total_results"), F.countDistinct("patient_id").alias("patients_tested"),
-        F.countDistinct("test_name").alias("unique_tests"), F.count_if(abnormal()).alias("abnormal_count"))
+    """Two distinct counts: rows shrink to one per patient and test before they are taken."""
+    pairs = labs.groupBy("patient_id", "test_name").agg(
+        F.count("*").alias("n"), F.count_if(abnormal()).alias("bad"))
+    return pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_results"),
+        F.countDistinct("patient_id").alias("patients_tested"),
+        F.countDistinct("test_name").alias("unique_tests"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("abnormal_count"))
 
 
 def lab_flag_distribution(labs: DataFrame, facets: Column | None = None) -> DataFrame:
@@ -59,9 +64,9 @@ def patients_with_labs(patients: DataFrame, labs: DataFrame, term: str, k: int =
 
 def lab_detail(labs: DataFrame, patients: DataFrame, facets: Column | None = None,
                k: int = 100) -> DataFrame:
-    latest = top(_filtered(labs, facets).select("lab_id", "patient_id", "test_name", "loinc_code",
-                                                *_MEASURE, "collected_date"), _newest(), k)
-    return (named_patients(patients, "mrn").join(latest, "patient_id").orderBy(*_newest())
+    chosen = _filtered(labs, facets).select("lab_id", "patient_id", "test_name", "loinc_code",
+                                            *_MEASURE, "collected_date")
+    return (top_with(chosen, _newest(), k, (named_patients(patients, "mrn"), "patient_id"))
             .select("mrn", "patient_name", "test_name", "loinc_code", *_MEASURE, "collected_date"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carestrata.functions.scalars import utc_text
-from carestrata.operators.common import named_patients, one_value, person_name, top
+from carestrata.operators.common import named_patients, one_value, person_name, top_with
 
 
 def treatment_type_choices(treatments: DataFrame) -> DataFrame:
@@ -39,18 +39,18 @@ def active_providers(providers: DataFrame) -> DataFrame:
 def encounter_choices(encounters: DataFrame, patients: DataFrame, k: int = 50) -> DataFrame:
     """Latest encounters with the keys a diagnosis, treatment or lab entry takes from them."""
     order = [F.desc("admission_date"), F.asc("encounter_id")]
-    latest = top(encounters.select("encounter_id", "patient_id", "provider_id", "encounter_type",
-                                   "admission_date"), order, k)
-    return (named_patients(patients, "mrn").join(latest, "patient_id").orderBy(*order)
+    listed = encounters.select("encounter_id", "patient_id", "provider_id", "encounter_type",
+                               "admission_date")
+    return (top_with(listed, order, k, (named_patients(patients, "mrn"), "patient_id"))
             .select("encounter_id", "patient_id", "provider_id", "mrn", "patient_name",
                     "encounter_type", utc_text(F.col("admission_date")).alias("adm")))
 
 
 def active_treatment_choices(treatments: DataFrame, patients: DataFrame, k: int = 50) -> DataFrame:
     order = [F.desc("start_date"), F.asc("treatment_id")]
-    latest = top(treatments.filter(F.col("status") == "active")
-                 .select("treatment_id", "patient_id", "treatment_name", "start_date"), order, k)
-    return (named_patients(patients, "mrn").join(latest, "patient_id").orderBy(*order)
+    running = (treatments.filter(F.col("status") == "active")
+               .select("treatment_id", "patient_id", "treatment_name", "start_date"))
+    return (top_with(running, order, k, (named_patients(patients, "mrn"), "patient_id"))
             .select("treatment_id", "patient_id", "treatment_name", "mrn", "patient_name"))
 
 
@@ -61,7 +61,7 @@ def latest_patients(patients: DataFrame, k: int = 5) -> DataFrame:
 
 def latest_encounters(encounters: DataFrame, patients: DataFrame, k: int = 5) -> DataFrame:
     order = [F.desc("created_at"), F.asc("encounter_id")]
-    latest = top(encounters.select("encounter_id", "patient_id", "encounter_type", "admission_date",
-                                   "created_at"), order, k)
-    return (named_patients(patients, "mrn").join(latest, "patient_id").orderBy(*order)
+    listed = encounters.select("encounter_id", "patient_id", "encounter_type", "admission_date",
+                               "created_at")
+    return (top_with(listed, order, k, (named_patients(patients, "mrn"), "patient_id"))
             .select("mrn", "patient_name", "encounter_type", "admission_date", "created_at"))

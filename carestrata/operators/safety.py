@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from carestrata.functions.labels import is_serious, severity_rank
 from carestrata.functions.scalars import as_date, days_between, mean_of, month_index, percent, rounded_quotient
-from carestrata.operators.common import for_patient, ids, named_patients, top
+from carestrata.operators.common import for_patient, ids, named_patients, top_with
 from carestrata.operators.treatments import event_facts, treatment_facts
 
 
@@ -79,11 +79,10 @@ def ae_detail(adverse_events: DataFrame, patients: DataFrame, treatments: DataFr
               facets: Column | None = None, k: int = 100) -> DataFrame:
     """Latest events with patient and treatment; only the chosen ``k`` rows are joined."""
     order = [F.desc("onset_date"), F.asc("event_id")]
-    latest = top(_filtered(adverse_events, facets).select(
-        "patient_id", "treatment_id", *[c for c in _DETAIL if c in adverse_events.columns]), order, k)
-    return (_names(treatments).join(latest, "treatment_id")
-            .join(named_patients(patients, "mrn"), "patient_id")
-            .orderBy(*order).select(*_DETAIL))
+    chosen = _filtered(adverse_events, facets).select(
+        "patient_id", "treatment_id", *[c for c in _DETAIL if c in adverse_events.columns])
+    return top_with(chosen, order, k, (_names(treatments), "treatment_id"),
+                    (named_patients(patients, "mrn"), "patient_id")).select(*_DETAIL)
 
 
 def ae_history(adverse_events: DataFrame, treatments: DataFrame, patient_id=None) -> DataFrame:
