@@ -53,7 +53,7 @@ def main() -> None:
     spark = configure(
         SparkSession.builder.master(f"local[{cpus}]").appName("carestrata-bench")
         .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-        .config("spark.log.level", "ERROR").getOrCreate())
+        .config("spark.ui.showConsoleProgress", "false").config("spark.log.level", "ERROR").getOrCreate())
     folder = shared_folder(spark)
     start = time.perf_counter()
     views = clinical_views(spark, sf_dir)

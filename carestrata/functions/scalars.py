@@ -53,6 +53,21 @@ def percent_change(baseline: Column, result: Column) -> Column:
     return F.round(change, 1).cast("double")
 
 
+def exact_slope(y: Column, x: Column, places: int) -> Column:
+    """Least-squares slope (an aggregate) of decimals with ``places`` places on whole numbers.
+
+    The sums are whole numbers too, so the result does not depend on the order rows arrive in.
+    NULL when x does not vary.
+    """
+    both = y.isNotNull() & x.isNotNull()
+    units = F.when(both, (y * 10**places).cast("decimal(28,0)"))
+    at = F.when(both, x.cast("decimal(28,0)"))
+    n, sx, sy = F.count(units).cast("decimal(20,0)"), F.sum(at), F.sum(units)
+    sxy, sxx = (F.sum((at * v).cast("decimal(28,0)")) for v in (units, at))
+    spread = (n * sxx - sx * sx).cast("double")
+    return (n * sxy - sx * sy).cast("double") / F.nullif(spread * 10**places, F.lit(0.0))
+
+
 def utc_text(ts: Column) -> Column:
     """Timestamp as text with its zone offset, e.g. ``2025-01-15 15:00:00+00``."""
     return F.date_format(ts.cast("timestamp"), "yyyy-MM-dd HH:mm:ssx")

@@ -1,9 +1,9 @@
 """Ordered computations per group that stay distributed when one group is huge.
 
-A plain window over a group runs in one task. Here each group is first cut into *steps*
-(an hour, a day, a slice of the id hash …). Rows are windowed inside a step only, and one
-summary row per step is windowed across the group, so the widest window is as long as the
-number of steps, which the step definition bounds.
+A window over a group runs in one task. Ordinary groups are left to that; the *hot* ones are cut
+into steps (a stretch of time, a slice of the ids). Rows are then windowed inside a step, and one
+summary row per step is windowed across the group. An ordinary group is a single step: it takes the
+same road, at the cost of one shuffle of its rows.
 """
 
 from __future__ import annotations
@@ -13,72 +13,87 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Groups above SLICE_ROWS rows are hot, at most the MAX_HOT largest of them: a bounded set of keys
+# that can be broadcast. A group left out of it holds less than 1 / MAX_HOT of all rows and is
+# processed in one piece, with the same result.
+SLICE_ROWS = 10_000
+MAX_HOT = 100_000
 
-def id_slot(key: str | Column, hex_digits: int = 2) -> Column:
-    """A slice of the id space: the leading hex digits of the id's hash."""
-    col = F.col(key) if isinstance(key, str) else key
-    return F.substring(F.md5(col.cast("string")), 1, hex_digits)
 
+def id_slice(key: str | Column, slices: int = 1024) -> Column:
+    """A slice of the id space, 0 … slices − 1."""
+    return F.pmod(F.xxhash64(key), F.lit(slices))
 
-def ranked_in_steps(df: DataFrame, group: Sequence[str], steps: Sequence[str],
-                    step_order: Sequence[Column], row_order: Sequence[Column],
-                    position: str = "position", size: str | None = None) -> DataFrame:
-    """0-based ``position`` of each row in its group, ordered by step and then inside the step.
 
-    ``size``, when named, receives the number of rows in the group.
+def hot_groups(df: DataFrame, group: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Keys of the groups that are too large for one task."""
+    return (df.groupBy(*group).agg(F.count("*").alias("_rows"))
+            .filter(F.col("_rows") > slice_rows)
+            .orderBy(F.desc("_rows"), *group).limit(MAX_HOT)
+            .select(*group, F.lit(True).alias("_hot")))
+
+
+def _in_steps(df: DataFrame, hot: DataFrame, group: Sequence[str], step: Column, how: str) -> DataFrame:
+    return (df.join(F.broadcast(hot), list(group), how)
+            .withColumn("_step", F.when(F.col("_hot"), step.cast("bigint")).otherwise(F.lit(0)))
+            .drop("_hot"))
+
+
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], step: Column,
+           position: str = "position", size: str | None = None, slice_rows: int = SLICE_ROWS,
+           sized_by: DataFrame | None = None) -> DataFrame:
+    """0-based ``position`` of each row in its group by ``order``; in a hot group by ``step`` first.
+
+    ``size``, when named, receives the number of rows in the group. ``sized_by`` may stand in for
+    ``df`` when group sizes are cheaper to tell from something else; a rough count will do.
     """
-    cell = [*group, *steps]
-    across = Window.partitionBy(*group).orderBy(*step_order)
-    sums = df.groupBy(*cell).agg(F.count("*").alias("_n"))
-    offsets = sums.withColumn(
-        "_before",
-        F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cell = [*group, "_step"]
+    hot = hot_groups(df if sized_by is None else sized_by, group, slice_rows)
+    inside = Window.partitionBy(*cell)
+    rows = (_in_steps(df, hot, group, step, "left")
+            .withColumn("_row", F.row_number().over(inside.orderBy(*order)) - 1))
+    across = Window.partitionBy(*group)
+    earlier = across.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    cells = _in_steps(df, hot, group, step, "inner").groupBy(*cell).agg(F.count("*").alias("_n"))
+    offsets = [F.sum("_n").over(earlier).alias("_before")]
+    if size:
+        rows = rows.withColumn("_size", F.count("*").over(inside))
+        offsets.append(F.sum("_n").over(across).alias("_hot_size"))
+    placed = rows.join(cells.select(*cell, *offsets), cell, "left").withColumn(
+        position, F.coalesce("_before", F.lit(0)) + F.col("_row"))
     if size:
-        offsets = offsets.withColumn(size, F.sum("_n").over(Window.partitionBy(*group)))
-    inside = Window.partitionBy(*cell).orderBy(*row_order)
-    return (
-        df.withColumn("_row", F.row_number().over(inside))
-        .join(offsets.drop("_n"), cell)
-        .withColumn(position, F.col("_before") + F.col("_row") - 1)
-        .drop("_row", "_before")
-    )
-
-
-def previous_in_steps(df: DataFrame, group: Sequence[str], step: str, row_order: Sequence[str],
-                      value: str, previous: str = "previous_value") -> DataFrame:
-    """Value of the row before, in ``row_order`` within the group (a lag).
-
-    ``step`` has to be a non-decreasing function of ``row_order``. Only the first row of a step
-    looks outside it: it takes the last row of the nearest earlier step.
+        placed = placed.withColumn(size, F.coalesce("_hot_size", "_size"))
+    return placed.drop("_step", "_row", "_before", "_size", "_hot_size")
+
+
+def previous(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, step: Column,
+             name: str = "previous_value", slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Value of the row before in the group (a lag).
+
+    ``step`` must not decrease along ``order``. Only the first row of a hot group's step looks
+    outside it: it takes the last row of the nearest earlier step.
     """
-    cell = [*group, step]
-    inside = Window.partitionBy(*cell).orderBy(*row_order)
-    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*row_order))
-    carried = (
-        df.groupBy(*cell).agg(last.alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*group).orderBy(step)))
-        .drop("_last")
-    )
-    return (
-        df.withColumn("_row", F.row_number().over(inside))
-        .withColumn("_lag", F.lag(value).over(inside))
-        .join(carried, cell)
-        .withColumn(previous, F.when(F.col("_row") == 1, F.col("_carry.v")).otherwise(F.col("_lag")))
-        .drop("_row", "_lag", "_carry")
-    )
-
-
-def ranked_by_value(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
-    """Competition rank, highest value first and NULLs last, over the whole frame.
-
-    Only the *distinct values* meet in one task: at most 1,001 for a percentage with one decimal,
-    and fewer than sqrt(2 n) for counts that add up to n.
+    cell = [*group, "_step"]
+    hot = hot_groups(df, group, slice_rows)
+    inside = Window.partitionBy(*cell).orderBy(*order)
+    rows = (_in_steps(df, hot, group, step, "left")
+            .withColumn("_row", F.row_number().over(inside))
+            .withColumn("_lag", F.lag(value).over(inside)))
+    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))
+    carried = (_in_steps(df, hot, group, step, "inner").groupBy(*cell).agg(last.alias("_last"))
+               .select(*cell, F.lag("_last").over(
+                   Window.partitionBy(*group).orderBy("_step")).alias("_carry")))
+    return (rows.join(carried, cell, "left")
+            .withColumn(name, F.when(F.col("_row") == 1, F.col("_carry.v")).otherwise(F.col("_lag")))
+            .drop("_row", "_lag", "_carry", "_step"))
+
+
+def report_rank(report: DataFrame, value: str, rank: str = "rank") -> DataFrame:
+    """Competition rank over a whole report, highest value first and NULLs last.
+
+    For frames that are already summed up to one row per name or code. Those few rows meet in one
+    task, after everything below them has run once; counting the rows ahead of each value by a
+    self-join would run all of it twice.
     """
-    ahead = Window.orderBy(F.col("_v").desc_nulls_last())
-    levels = (
-        df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-        .withColumn(rank, 1 + F.coalesce(
-            F.sum("_n").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_n")
-    )
-    return df.join(levels, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+    return report.withColumn(rank, F.rank().over(Window.orderBy(F.col(value).desc_nulls_last()))
+                             .cast("bigint"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from carestrata.functions.labels import band_label, band_ordinal
 from carestrata.functions.predicates import patient_search
 from carestrata.functions.scalars import completed_years
-from carestrata.functions.series import ranked_by_value
+from carestrata.functions.series import report_rank
 from carestrata.operators.common import counted, for_patient, ids, person_name
 from carestrata.schema import AGE_BANDS
 
@@ -72,7 +72,7 @@ def population_breakdown(patients: DataFrame, as_of) -> DataFrame:
 def zip_ranking(patients: DataFrame) -> DataFrame:
     """zip_code, patient_count, rank (ties share a rank)."""
     per_zip = patients.groupBy("zip_code").agg(F.count("*").alias("patient_count"))
-    return ranked_by_value(per_zip, "patient_count").orderBy("rank", F.asc_nulls_last("zip_code"))
+    return report_rank(per_zip, "patient_count").orderBy("rank", F.asc_nulls_last("zip_code"))
 
 
 def older_patients_with_active_cancer(patients: DataFrame, diagnoses: DataFrame, as_of,

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from carestrata.functions.labels import flag_label
 from carestrata.functions.predicates import abnormal, patient_search
-from carestrata.functions.scalars import as_date, percent
-from carestrata.functions.series import previous_in_steps
+from carestrata.functions.scalars import as_date, exact_slope, percent
+from carestrata.functions.series import SLICE_ROWS, previous
 from carestrata.operators.common import for_patient, ids, named_patients, person_name, top_with
 
 _MEASURE = ["result_value", "unit", "reference_low", "reference_high", "abnormal_flag"]
@@ -75,15 +75,15 @@ def lab_history(labs: DataFrame, patient_id=None) -> DataFrame:
     return for_patient(df, patient_id, _newest())
 
 
-def lab_trends(labs: DataFrame) -> DataFrame:
+def lab_trends(labs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Every point of every patient × test series with the change since the point before.
 
-    The lag runs inside clock hours, and across hours on one row per hour.
+    A very long series is worked through by clock hour.
     """
-    points = labs.select("patient_id", "test_name", "lab_id", "collected_date", *_MEASURE).withColumn(
-        "hour", F.date_trunc("hour", "collected_date"))
-    series = previous_in_steps(points, ["patient_id", "test_name"], "hour",
-                               ["collected_date", "lab_id"], "result_value", "previous_value")
+    points = labs.select("patient_id", "test_name", "lab_id", "collected_date", *_MEASURE)
+    hour = F.floor(F.unix_seconds(F.col("collected_date").cast("timestamp")) / 3600)
+    series = previous(points, ["patient_id", "test_name"], ["collected_date", "lab_id"],
+                      "result_value", hour, slice_rows=slice_rows)
     return (series.withColumn("delta", F.col("result_value") - F.col("previous_value"))
             .select("patient_id", "test_name", "lab_id", "collected_date", *_MEASURE,
                     "previous_value", "delta"))
@@ -100,14 +100,14 @@ def lab_series(labs: DataFrame) -> DataFrame:
     def earliest(column: str) -> Column:
         return F.min_by(column, F.when(F.col(column).isNotNull(), at))
 
-    day = F.unix_date(F.to_date("collected_date")).cast("double")
+    day = F.unix_date(F.to_date("collected_date"))
     return (labs.groupBy("patient_id", "test_name")
             .agg(F.count("*").alias("points"), F.count_if(abnormal()).alias("abnormal"),
                  F.min("collected_date").alias("first_collected"),
                  F.max("collected_date").alias("last_collected"),
                  F.min_by("result_value", at).alias("first_value"),
                  F.max_by("result_value", at).alias("last_value"),
-                 F.round(F.regr_slope(F.col("result_value").cast("double"), day), 6).alias("slope_per_day"),
+                 F.round(exact_slope(F.col("result_value"), day, 4), 6).alias("slope_per_day"),
                  earliest("reference_low").alias("band_low"),
                  earliest("reference_high").alias("band_high"))
             .withColumn("change", F.col("last_value") - F.col("first_value")))

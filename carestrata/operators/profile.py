@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carestrata.functions.series import id_slot, ranked_in_steps
+from carestrata.functions.series import SLICE_ROWS, id_slice, ranked
 from carestrata.operators.demographics import demographics
 from carestrata.operators.encounters import encounter_history
 from carestrata.operators.safety import ae_history
@@ -53,19 +53,27 @@ def _entries(tables: dict[str, DataFrame]) -> DataFrame:
             F.col(key).cast("string").alias("key"), F.struct(*fields).alias(tab))
         for tab, (day, key, fields) in TABS.items()
     ]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    return union.withColumn("slot", id_slot("key"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
 
 
-def patient_profiles(tables: dict[str, DataFrame], as_of, page_size: int = 500) -> DataFrame:
+def _members(tables: dict[str, DataFrame]) -> DataFrame:
+    """Patient and tab of the underlying rows: enough to tell whose tabs are very long."""
+    sources = {tab: tab for tab in TABS} | {"treatment_outcomes": "treatments"}
+    return reduce(DataFrame.unionByName, [
+        tables[name].select("patient_id", F.lit(tab).alias("tab")) for name, tab in sources.items()])
+
+
+def patient_profiles(tables: dict[str, DataFrame], as_of, page_size: int = 500,
+                     slice_rows: int = SLICE_ROWS) -> DataFrame:
     """patient_id, page, demographics, and one array of structs per tab, newest first.
 
     A tab with more than ``page_size`` entries continues on the next page, so no row grows without
     bound and nothing is left out. Page 0 exists for every patient and carries the demographics.
     """
-    entries = ranked_in_steps(
-        _entries(tables), ["patient_id", "tab"], ["day", "slot"],
-        [F.desc("day"), F.asc("slot")], [F.asc("key")])
+    # newest day first; a patient with very many entries is numbered by day and slice of the keys
+    newest_first = -F.unix_date("day").cast("bigint") * 1024 + id_slice("key", 1024)
+    entries = ranked(_entries(tables), ["patient_id", "tab"], [F.desc("day"), F.asc("key")],
+                     newest_first, slice_rows=slice_rows, sized_by=_members(tables))
     paged = entries.withColumn("page", F.floor(F.col("position") / page_size).cast("int"))
     person = demographics(tables["patients"], as_of)
     person = person.select("patient_id", F.lit(0).alias("page"), F.struct(

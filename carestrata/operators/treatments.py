@@ -7,14 +7,14 @@ once multiplies them (a × b rows per treatment), so every scorecard starts from
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carestrata.functions.labels import is_serious, service_line
 from carestrata.functions.scalars import (
     WIDE, as_date, days_between, mean_of, percent, percent_change, rounded_quotient,
 )
-from carestrata.functions.series import ranked_by_value
+from carestrata.functions.series import report_rank
 from carestrata.operators.common import for_patient, ids, named_patients, person_name
 
 _OUTCOME_COUNTS = ("outcomes", "improved", "stable", "progression")
@@ -261,7 +261,7 @@ def treatment_ranking(treatments: DataFrame, outcomes: DataFrame, adverse_events
         cohort = ids(diagnoses.filter(F.col("icd10_code").startswith(code_prefix)))
         treatments = treatments.join(cohort, "patient_id", "left_semi")
     card = efficacy_scorecard(treatments, outcomes, adverse_events)
-    return ranked_by_value(card, "improvement_rate_pct").orderBy("rank", "treatment_name",
+    return report_rank(card, "improvement_rate_pct").orderBy("rank", "treatment_name",
                                                                  "treatment_type")
 
 
@@ -283,8 +283,7 @@ def treatment_durations(treatments: DataFrame, as_of) -> DataFrame:
 def treatment_mix(treatments: DataFrame) -> DataFrame:
     """Distinct patients by type, and each type's share of the sum over types."""
     mix = treatments.groupBy("treatment_type").agg(F.countDistinct("patient_id").alias("patients"))
-    total = mix.agg(F.sum("patients")).scalar()
-    return (mix.withColumn("total", total)
+    return (mix.withColumn("total", F.sum("patients").over(Window.partitionBy()))
             .select("treatment_type", "patients",
                     percent(F.col("patients"), F.col("total")).alias("share_pct"))
             .orderBy(F.desc("patients"), "treatment_type"))

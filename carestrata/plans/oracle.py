@@ -182,7 +182,7 @@ _TREATED = """select t.patient_id, t.treatment_id, treatment_name, treatment_typ
 
 def _tab(tab: str, table: str, day: str, key: str) -> str:
     return (f"select patient_id, '{tab}' as tab, (row_number() over (partition by patient_id order by"
-            f" cast({day} as date) desc, substr(md5({key}), 1, 2), {key}) - 1) // 50 as page from {table}")
+            f" cast({day} as date) desc, {key}) - 1) // 50 as page from {table}")
 
 
 _TABS = [
@@ -225,7 +225,7 @@ _PATIENT = {
       from rows r join patients p on p.patient_id = r.patient_id group by r.patient_id, page""",
     "patient_profile_labs": """with numbered as (
         select *, row_number() over (partition by patient_id order by cast(collected_date as date) desc,
-          substr(md5(cast(lab_id as varchar)), 1, 2), cast(lab_id as varchar)) - 1 as i from lab_results)
+          cast(lab_id as varchar)) - 1 as i from lab_results)
       select patient_id, cast(i // 50 as int) as page, cast(i % 50 as int) as at, test_name,
       result_value, collected_date from numbered""",
 }
@@ -355,15 +355,21 @@ _LABS = {
       window series as (partition by patient_id, test_name order by collected_date, lab_id)""",
     "lab_series": """with ordered as (select *, row_number() over (partition by patient_id, test_name
         order by collected_date, lab_id) as i, date_diff('day', date '1970-01-01',
-        cast(collected_date as date)) as day from lab_results)
+        cast(collected_date as date)) as day from lab_results),
+      moments as (select patient_id, test_name,
+        count(*) * sum(day * day) - sum(day) * sum(day) as sxx,
+        count(*) * sum(day * units) - sum(day) * sum(units) as sxy
+        from (select patient_id, test_name, cast(day as hugeint) as day,
+          cast(result_value * 10000 as hugeint) as units from ordered) group by patient_id, test_name)
       select patient_id, test_name, count(*) as points, count(*) filter (abnormal_flag <> 'N') as abnormal,
       min(collected_date) as first_collected, max(collected_date) as last_collected,
       arg_min(result_value, i) as first_value, arg_max(result_value, i) as last_value,
-      round(case when var_pop(day) > 0 then regr_slope(cast(result_value as double), day) end, 6) as slope_per_day,
+      case when sxx > 0 then sign(sxy) * cast((2000000 * abs(sxy) + 10000 * sxx) // (20000 * sxx) as double)
+        / 1000000 end as slope_per_day,
       arg_min(reference_low, i) filter (reference_low is not null) as band_low,
       arg_min(reference_high, i) filter (reference_high is not null) as band_high,
       arg_max(result_value, i) - arg_min(result_value, i) as change
-      from ordered group by patient_id, test_name""",
+      from ordered join moments using (patient_id, test_name) group by patient_id, test_name, sxx, sxy""",
 }
 
 # --- pickers ------------------------------------------------------------------------------------
@@ -429,7 +435,7 @@ _GRAPH = {
         (select count(*) from adverse_events x where x.patient_id = p.patient_id) as adverse_events
       from patients p)""",
     "graph_layout": f"""with placed as (select patient_id, node_id,
-        row_number() over (partition by patient_id order by ordinal, substr(md5(node_id), 1, 3), node_id) - 1 as i,
+        row_number() over (partition by patient_id order by ordinal, node_id) - 1 as i,
         count(*) over (partition by patient_id) as n from ({_NODES}))
       select patient_id, node_id, i, n,
       case when i = 0 then 0.0::double else round((2 + (i % 3) * 0.5::double) * cos(2 * pi() * (i - 1) / (n - 1)), 6) + 0.0::double end as x,

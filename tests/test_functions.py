@@ -95,26 +95,36 @@ def _by_group(rows):
     return {g: list(rs) for g, rs in itertools.groupby(ordered, key=lambda r: r[0])}
 
 
-def test_previous_in_steps(walk):
+def _hours(spark_column):
+    return F.floor(F.unix_seconds(spark_column.cast("timestamp")) / 3600)
+
+
+@pytest.mark.parametrize("slice_rows", [5, 100, 10_000])
+def test_previous(walk, slice_rows):
     rows, df = walk
     expected = {r[2]: prev for rs in _by_group(rows).values()
                 for r, prev in zip(rs, [None] + [x[3] for x in rs])}
-    got = series.previous_in_steps(df.withColumn("h", F.date_trunc("hour", "at")), ["g"], "h",
-                                   ["at", "id"], "v", "p")
+    got = series.previous(df, ["g"], ["at", "id"], "v", _hours(F.col("at")), "p", slice_rows)
     assert {r.id: r.p for r in got.collect()} == expected
 
 
-def test_ranked_in_steps(walk):
+@pytest.mark.parametrize("slice_rows", [5, 100, 10_000])
+def test_ranked(walk, slice_rows):
     rows, df = walk
     expected = {r[2]: (i, len(rs)) for rs in _by_group(rows).values() for i, r in enumerate(rs)}
-    got = series.ranked_in_steps(df.withColumn("h", F.date_trunc("hour", "at")), ["g"], ["h"],
-                                 [F.asc("h")], [F.asc("at"), F.asc("id")], "i", size="n")
+    got = series.ranked(df, ["g"], [F.asc("at"), F.asc("id")], _hours(F.col("at")), "i", "n", slice_rows)
     assert {r.id: (r.i, r.n) for r in got.collect()} == expected
 
 
-def test_ranked_by_value(spark):
+def test_hot_groups_are_few(walk):
+    _, df = walk
+    assert [r.g for r in series.hot_groups(df, ["g"], 100).collect()] == ["hot"]
+    assert series.hot_groups(df, ["g"], 1000).count() == 0
+
+
+def test_report_rank(spark):
     df = spark.createDataFrame([("a", 2.0), ("b", None), ("c", 3.0), ("d", 2.0), ("e", 1.0)], "k string, v double")
-    got = {r.k: r.rank for r in series.ranked_by_value(df, "v").collect()}
+    got = {r.k: r.rank for r in series.report_rank(df, "v").collect()}
     assert got == {"c": 1, "a": 2, "d": 2, "e": 4, "b": 5}
 
 

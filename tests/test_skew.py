@@ -6,9 +6,12 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from carestrata.functions.series import hot_groups
+from carestrata.operators import graph, labs, profile
 from carestrata.plans.catalog import CATALOG, runners
 from carestrata.plans.oracle import oracle_queries
-from tests.comparing import assert_same, database
+from carestrata.sources.retail_mapping import AS_OF, clinical_views
+from tests.comparing import assert_same, database, rows_of
 
 SMALL = "/root/testdata/sf0.001"
 HOT = {
@@ -52,6 +55,36 @@ def test_hot_keys_change_nothing(spark, skewed, db, name):
     assert_same(runners()[name](spark, skewed), db, oracle_queries()[name])
 
 
+@pytest.fixture(scope="module")
+def views(spark, skewed):
+    return clinical_views(spark, skewed)
+
+
+def test_hot_series_by_the_hour(views, db):
+    assert hot_groups(views["lab_results"], ["patient_id", "test_name"], 40).count() > 0
+    assert_same(labs.lab_trends(views["lab_results"], slice_rows=40), db, oracle_queries()["lab_trends"])
+
+
+def test_hot_patient_numbered_by_slices(views):
+    nodes = graph.graph_nodes(views)
+    placed = graph.graph_layout(nodes, slice_rows=200).join(nodes.select("node_id", "kind"), "node_id")
+    kinds = list(graph.KINDS)
+    for patient in (7, 8):
+        rows = sorted((r.i, kinds.index(r.kind), r.n) for r in placed.filter(f"patient_id = {patient}").collect())
+        assert [r[0] for r in rows] == list(range(rows[0][2]))
+        assert [r[1] for r in rows] == sorted(r[1] for r in rows)
+
+
+def test_hot_profile_by_day_and_slice(views):
+    whole = profile.patient_profiles(views, AS_OF, page_size=50)
+    cut = profile.patient_profiles(views, AS_OF, page_size=50, slice_rows=100)
+    for tab in ("lab_results", "treatments"):
+        def entries(df):
+            return df.select("patient_id", F.explode(tab).alias("e")).select("patient_id", "e.*")
+        assert rows_of(entries(cut)) == rows_of(entries(whole))
+    assert rows_of(profile.profile_sizes(cut)) == rows_of(profile.profile_sizes(whole))
+
+
 def test_hot_patient_spans_pages(spark, skewed):
     sizes = runners()["patient_profile_sizes"](spark, skewed)
     assert sizes.filter("patient_id = 7").agg(F.max("page")).first()[0] > 5
