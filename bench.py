@@ -24,7 +24,7 @@ from carestrata.sources.tables import write_layout
 
 HEADLINE = [
     "age_distribution", "efficacy_scorecard", "outcome_trends", "ae_monitor", "provider_activity",
-    "diagnosis_cohorts", "abnormal_labs", "kpi_cards", "cancer_pipeline", "recent_encounters",
+    "diagnosis_cohorts", "abnormal_labs", "kpi_cards", "cancer_treatment_outcomes", "recent_encounters",
     "treatment_kpis", "treatment_detail", "ae_detail", "lab_trends", "lab_series", "patient_profiles",
     "graph_edges", "graph_layout", "treatment_ranking", "comorbid_overlaps", "mean_time_to_treatment",
     "event_rate_trend", "readmission_rates", "ingest_patients", "ingest_labs",
@@ -33,7 +33,7 @@ NAIVE = {
     "efficacy_scorecard": ("treatments", "treatment_outcomes", "adverse_events"),
     "treatment_detail": ("treatments", "treatment_outcomes", "adverse_events"),
     "provider_activity": ("providers", "encounters", "treatments"),
-    "cancer_pipeline": ("diagnoses", "treatments", "treatment_outcomes"),
+    "cancer_treatment_outcomes": ("diagnoses", "treatments", "treatment_outcomes"),
 }
 
 

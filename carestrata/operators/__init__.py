@@ -1,4 +1,4 @@
-"""Operators: DataFrames in, one DataFrame out. None of them runs an action.
+"""Operators: DataFrames in, one lazy DataFrame out. Only ``ingest.record`` runs an action (it writes).
 
 All joins lean on the references the tables declare (``carestrata.schema``): a child row's parent
 exists, because ``carestrata.operators.ingest`` lets no other row in. That is what allows a top-k

@@ -1,4 +1,4 @@
-"""Headline counts."""
+"""Headline counts. The metric names are fixed values."""
 
 from __future__ import annotations
 

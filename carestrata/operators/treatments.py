@@ -181,7 +181,7 @@ def treatment_detail(treatments: DataFrame, outcomes: DataFrame, adverse_events:
 
 # --- questions ----------------------------------------------------------------------------------
 
-def cancer_pipeline(diagnoses: DataFrame, treatments: DataFrame, outcomes: DataFrame) -> DataFrame:
+def cancer_treatment_outcomes(diagnoses: DataFrame, treatments: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Distinct cancer patients per diagnosis, treatment and outcome type.
 
     Both sides shrink to what a patient *has* (distinct diagnoses; distinct name and outcome type)

@@ -67,7 +67,7 @@ DASHBOARD = {
     "diagnosis_cohorts_unique": _op(dx.diagnosis_cohorts, D, P, as_of=AS_OF, unique_patients=True),
     "abnormal_labs": _op(labs.abnormal_labs, L, P),
     "kpi_cards": _op(headline.kpi_cards, P, T, E, A),
-    "cancer_pipeline": _op(tx.cancer_pipeline, D, T, O),
+    "cancer_treatment_outcomes": _op(tx.cancer_treatment_outcomes, D, T, O),
 }
 
 OVERVIEW = {

@@ -144,7 +144,7 @@ _DASHBOARD = {
         cast((select count(*) from encounters) as varchar),
         cast((select count(*) from adverse_events) as varchar),
         cast((select count(*) from adverse_events where ctcae_grade > 2) as varchar)]) as value""",
-    "cancer_pipeline": """select description as diagnosis, treatment_name, outcome_type,
+    "cancer_treatment_outcomes": """select description as diagnosis, treatment_name, outcome_type,
       count(distinct patient_id) as patient_count
       from diagnoses join treatments using (patient_id)
       left join (select treatment_id, outcome_type from treatment_outcomes) o

@@ -51,7 +51,7 @@ def provider_activity(providers, encounters, treatments):
             .drop("provider_id"))
 
 
-def cancer_pipeline(diagnoses, treatments, outcomes):
+def cancer_treatment_outcomes(diagnoses, treatments, outcomes):
     d = diagnoses.filter(F.col("icd10_code").startswith("C")).select(
         "patient_id", F.col("description").alias("diagnosis"))
     t = treatments.select("patient_id", "treatment_id", "treatment_name")

@@ -32,7 +32,7 @@ def test_filters_reach_the_scan(stored):
     assert "EqualTo(status,active)" in _plan(diagnoses.diagnosis_cohorts(
         stored["diagnoses"], stored["patients"], "2025-08-01"))
     assert "Not(EqualTo(abnormal_flag,N))" in _plan(labs.abnormal_labs(stored["lab_results"], stored["patients"]))
-    assert "StringStartsWith(icd10_code,C)" in _plan(treatments.cancer_pipeline(
+    assert "StringStartsWith(icd10_code,C)" in _plan(treatments.cancer_treatment_outcomes(
         stored["diagnoses"], stored["treatments"], stored["treatment_outcomes"]))
     assert "GreaterThanOrEqual(ctcae_grade,3)" in _plan(safety.recent_high_grade(
         stored["adverse_events"], stored["patients"], stored["treatments"], "2025-08-01"))

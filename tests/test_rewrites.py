@@ -20,7 +20,7 @@ def _args(t, names):
 CASES = {
     "efficacy_scorecard": (treatments, ("treatments", "treatment_outcomes", "adverse_events")),
     "treatment_detail": (treatments, ("treatments", "treatment_outcomes", "adverse_events")),
-    "cancer_pipeline": (treatments, ("diagnoses", "treatments", "treatment_outcomes")),
+    "cancer_treatment_outcomes": (treatments, ("diagnoses", "treatments", "treatment_outcomes")),
     "provider_activity": (providers, ("providers", "encounters", "treatments")),
 }
 

@@ -23,7 +23,7 @@ AFFECTED = [
     "lab_trends", "lab_series", "lab_kpis", "graph_layout", "graph_edges", "graph_summary",
     "patient_profile_sizes", "patient_profile_labs", "readmission_rates", "comorbid_overlaps",
     "mean_time_to_treatment", "efficacy_scorecard", "treatment_detail", "provider_activity",
-    "cancer_pipeline", "diagnosis_cohorts_unique", "ae_monitor", "dose_reduction_outcomes",
+    "cancer_treatment_outcomes", "diagnosis_cohorts_unique", "ae_monitor", "dose_reduction_outcomes",
     "events_of_patients_on", "service_line_efficacy", "frequent_visitors", "hba1c_trend",
     "treatment_history", "event_rate_trend", "ingest_patients", "ingest_labs", "zip_ranking",
 ]
