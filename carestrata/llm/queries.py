@@ -5,17 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from carestrata.llm import chosen_path
+from carestrata.llm import automata, chosen_path
 from carestrata.llm.tables import read_table
 
 
+def op3_automata_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op7_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_chosen_path_near_duplicates,)
+    f.__name__: f for f in (op3_automata_substring_dedup, op7_chosen_path_near_duplicates)
 }
 
 #: DuckDB twins, where SQL can express a query on whole tables.

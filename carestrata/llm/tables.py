@@ -70,3 +70,16 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
 
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
+
+
+BROADCAST_BYTES = 16 << 20
+
+
+def written_bytes(frame: DataFrame) -> int:
+    """Size of a frame that reads written files, as Spark's statistics have it."""
+    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def joined(wide: DataFrame, narrow: DataFrame, on, how: str) -> DataFrame:
+    """Join wide rows (whole texts) with a written table: in place while that table's files are few MB, else by shuffle."""
+    return wide.join(F.broadcast(narrow) if written_bytes(narrow) <= BROADCAST_BYTES else narrow, on, how)
