@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carestrata.llm import automata, chosen_path
+from carestrata.llm import automata, chosen_path, fuzzy_lines
 from carestrata.llm.tables import read_table
 
 
+def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.remove_lines(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_automata_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.remove_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -21,7 +26,7 @@ def op7_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_automata_substring_dedup, op7_chosen_path_near_duplicates)
+    f.__name__: f for f in (op2_fuzzy_line_dedup, op3_automata_substring_dedup, op7_chosen_path_near_duplicates)
 }
 
 #: DuckDB twins, where SQL can express a query on whole tables.
