@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carestrata.llm import automata, chosen_path, fuzzy_lines
+from carestrata.llm import automata, chosen_path, fuzzy_lines, merge_replay, scaled_sketch, tier_packing, token_spans
 from carestrata.llm.tables import read_table
 
 
@@ -21,12 +22,32 @@ def op3_automata_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.section_tokens(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_scaled_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op6_merge_replay_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_replay.encode_digests(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
 def op7_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tier_packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_fuzzy_line_dedup, op3_automata_substring_dedup, op7_chosen_path_near_duplicates)
+    f.__name__: f for f in (op2_fuzzy_line_dedup, op3_automata_substring_dedup, op4_section_token_counts, op5_scaled_sketch_fingerprints,
+                           op6_merge_replay_bpe, op7_chosen_path_near_duplicates, op8_tier_packing)
 }
 
 #: DuckDB twins, where SQL can express a query on whole tables.
