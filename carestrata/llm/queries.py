@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carestrata.llm import automata, chosen_path, fuzzy_lines, merge_replay, scaled_sketch, tier_packing, token_spans
+from carestrata.llm import (
+    automata, chosen_path, fuzzy_lines, merge_replay, scaled_sketch, string_kernel, text_density, tier_packing,
+    token_spans, vptree)
 from carestrata.llm.tables import read_table
 
 
+def op1_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.remove_lines(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -45,9 +52,19 @@ def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_kernel.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("row")
+
+
+def op10_text_density_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_density.extract(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_fuzzy_line_dedup, op3_automata_substring_dedup, op4_section_token_counts, op5_scaled_sketch_fingerprints,
-                           op6_merge_replay_bpe, op7_chosen_path_near_duplicates, op8_tier_packing)
+    f.__name__: f for f in (
+        op1_vantage_point_neighbours, op2_fuzzy_line_dedup, op3_automata_substring_dedup, op4_section_token_counts,
+        op5_scaled_sketch_fingerprints, op6_merge_replay_bpe, op7_chosen_path_near_duplicates, op8_tier_packing,
+        op9_string_kernel_toxicity, op10_text_density_extraction)
 }
 
 #: DuckDB twins, where SQL can express a query on whole tables.
