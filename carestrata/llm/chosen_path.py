@@ -18,6 +18,7 @@ from carestrata.llm import hashing
 from carestrata.llm.tables import Workspace, components, picked, same
 
 COORDINATES = 64
+COLUMNS_AT_ONCE = 2048
 _factors = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 
 SETS = "doc_id long, n_shingles long, node struct<k1:long,k2:long>, signature array<int>"
@@ -132,22 +133,80 @@ def candidate_nodes(work: Workspace, classes: DataFrame, trees: int, small: int,
     return whole
 
 
-def _stars(leaves: DataFrame, centres: int) -> DataFrame:
-    """Each member of a leaf with the leaf's centres: a number of pairs in proportion to the members."""
-    picks = [F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n_shingles")).alias(f"c{seed}")
-             for seed in range(centres)]
-    chosen = leaves.groupBy("path").agg(*picks).select(
-        "path", F.explode(F.array_distinct(F.array(*[f"c{s}" for s in range(centres)]))).alias("c"))
-    return leaves.join(chosen, "path").select(
-        "node", "n_shingles", F.col("c.node").alias("other"), F.col("c.n_shingles").alias("m"))
+def _exhaustive(leaves: DataFrame) -> DataFrame:
+    other = leaves.select("path", F.col("node").alias("other"), F.col("n_shingles").alias("m"))
+    return leaves.join(other, "path").filter("node < other").select("node", "n_shingles", "other", "m")
+
+
+def linked(left: list, right: list | None, percent: int) -> np.ndarray:
+    """Which pairs of sets (of one list, or across two) reach the similarity, from their shared shingles."""
+    sets = left + (right or [])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    owner, code = owner[shared], np.cumsum(count > 1)[code[shared]] - 1
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    rows = slice(0, len(left))
+    columns = slice(len(left), len(sets)) if right is not None else rows
+    both = np.zeros((len(left), columns.stop - columns.start), np.float32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS_AT_ONCE):
+        lo, hi = np.searchsorted(code, (at, at + COLUMNS_AT_ONCE))
+        held = np.zeros((len(sets), COLUMNS_AT_ONCE), np.float32)
+        held[owner[lo:hi], code[lo:hi] - at] = 1
+        both += held[rows] @ held[columns].T
+    return 100 * both >= percent * (sizes[rows, None] + sizes[None, columns] - both)
+
+
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (first, member) of each connected group of a symmetric relation."""
+    fresh, out = np.ones(len(near), bool), []
+    for i in range(len(near)):
+        if not fresh[i]:
+            continue
+        fresh[i] = False
+        front = near[i] & fresh
+        while front.any():
+            members = np.flatnonzero(front)
+            fresh[members] = False
+            out += [(i, m) for m in members.tolist()]
+            front = near[members].any(axis=0) & fresh
+    return out
+
+
+def _tile(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        members, chunk = group.column("members"), group.column("chunk").to_numpy()
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in members]
+        a = np.flatnonzero(chunk == group.column("i")[0].as_py())
+        b = np.flatnonzero(chunk != group.column("i")[0].as_py())
+        if len(b):
+            order = np.r_[a, b]
+            cross = linked([sets[i] for i in a], [sets[i] for i in b], percent)
+            near = np.zeros((len(order), len(order)), bool)
+            near[:len(a), len(a):] = cross
+            near[len(a):, :len(a)] = cross.T
+        else:
+            order, near = a, linked([sets[i] for i in a], None, percent)
+        edges = spanning(near)
+        node = group.column("node")
+        return pa.table([node.take(pa.array([int(order[e[k]]) for e in edges], pa.int64())) for k in (0, 1)], names=["a", "b"])
+    return run
 
 
-def _exhaustive(leaves: DataFrame) -> DataFrame:
-    other = leaves.select("path", F.col("node").alias("other"), F.col("n_shingles").alias("m"),
-                          *[F.col(c).alias("other_label") for c in leaves.columns if c == "label"])
-    pairs = leaves.join(other, "path").filter("node < other")
-    return (pairs.filter("label != other_label") if "label" in leaves.columns else pairs).select(
-        "node", "n_shingles", "other", "m")
+def crowded_links(work: Workspace, leaves: DataFrame, sets: DataFrame, percent: int, tile_rows: int) -> DataFrame:
+    """Spanning links of the large leaves: what shares a large leaf in any tree is one crowd, compared in square tiles."""
+    hubs = leaves.groupBy("path").agg(F.min("node").alias("hub"))
+    crowds = work.cut(components(work, leaves.join(hubs, "path").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    sizes = crowds.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("chunks"))
+    placed = crowds.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    tiles = placed.select(
+        "node", "label", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
+        "node", "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return tiles.join(sets, "node").groupBy("label", "i", "j").applyInArrow(
+        _tile(percent), "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>")
 
 
 def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -159,7 +218,7 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, size: int = 5,
                     percent: int = 80, trees: int = 10, small: int = 12, depth: int = 4, branches: int = 2,
-                    centres: int = 2) -> DataFrame:
+                    tile_rows: int = 1024) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of at least ``percent`` hundredths.
 
     Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased; a document of fewer than
@@ -173,8 +232,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     A pair at similarity s shares a tree's first branch with probability s and each later one with
     1-(1-s)^branches. At s = 0.85 ten trees miss it with a probability below 1e-6 at depth 1 and 1e-5 at
-    depth 4. No group is listed in pairs: leaves beyond ``small`` members are first compared to ``centres`` of
-    their members; only members still in different components meet each other afterwards.
+    depth 4. No group is listed in pairs: what still shares a leaf of more than ``small`` sets is compared in
+    square tiles of ``tile_rows`` sets a side, each a matrix product over shared shingles in its own task, which
+    gives back links that span its groups.
     """
     work = Workspace(docs.sparkSession)
     source = picked(docs, doc_id=doc_id, text=text)
@@ -195,14 +255,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 .mapInArrow(_confirm(percent), "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>"))
 
     few, many = leaves.filter(F.col("size") <= small), leaves.filter(F.col("size") > small)
-    first = work.cut(confirmed(_plausible(_exhaustive(few).union(_stars(many, centres)), percent)))
-    groups = work.cut(components(work, first))
-    labelled = many.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = labelled.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-    rest = _exhaustive(labelled.join(split.select("path"), "path"))
-    more = work.cut(confirmed(_plausible(rest, percent)))
-    if more.take(1):
-        groups = work.cut(components(work, first.union(more)))
+    links = work.cut(confirmed(_plausible(_exhaustive(few), percent)).union(
+        crowded_links(work, many, sets, percent, tile_rows)))
+    groups = work.cut(components(work, links))
     labels = classes.join(groups, "node", "left").select(
         "node", "first_id", F.coalesce("label", "node").alias("label"))
     lowest = labels.groupBy("label").agg(F.min("first_id").alias("component_id"))
