@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -29,7 +30,6 @@ ROUND_TOKENS = 2_000_000
 
 # letters without special case rules: a run of them is one piece, with or without the stop behind it
 _plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-_controls = re.compile("[\x1c-\x1f]")
 
 
 class WordCoder:
@@ -75,16 +75,25 @@ class WordCoder:
             self.known[word] = tuple(coded.ids)
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
-        # characters that only Python counts as white space keep a text whole
-        parts = [[text] if _controls.search(text) else text.split() for text in texts]
-        words = set(chain.from_iterable(parts))
+        # only ASCII white space splits here; whatever else a word holds, the tokenizer sees it whole
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        found = parts.flatten().dictionary_encode()
+        words = found.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             self.bases.clear()
-            new = list(words)
+            new = words
         self._learn(new)
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, part)), np.uint32) for part in parts]
+        coded = [self.known[w] for w in words]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        table = np.fromiter(chain.from_iterable(coded), np.uint32)
+        at = found.indices.to_numpy()
+        counts = lengths[at]
+        ends = np.r_[0, np.cumsum(counts)]
+        ids = table[np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = ends[parts.offsets.to_numpy()]
+        return [ids[lo:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 class Packer:
@@ -191,7 +200,7 @@ def _rows(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, with
         pieces: list = []
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, some in batches_of(texts, 2 << 20):
+            for first, some in batches_of(texts, 6 << 20):
                 for i, ids in enumerate(tool.texts(some)):
                     tokens = np.append(ids, np.uint32(end_id))
                     pieces += packer.add(_Document((batch.column(0)[first + i].as_py(), tokens)), len(tokens))
