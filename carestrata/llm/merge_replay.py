@@ -41,25 +41,22 @@ class MergeReplay:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
-
-    def rank(self, left: int, right: int) -> int | None:
-        """Rank of the token the pair merges to, None if there is none."""
-        key = (left, right)
-        try:
-            return self.pairs[key]
-        except KeyError:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right])
-            return found
+        self.pairs: dict[int, int] = {}
+
+    def rank(self, left: int, right: int) -> int:
+        """Rank of the token the pair merges to, -1 if there is none."""
+        key = left << 32 | right
+        found = self.pairs.get(key)
+        if found is None:
+            found = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
+        return found
 
     def one(self, word: bytes) -> list[int]:
         """The merges of a single word, lowest rank and leftmost first."""
         ids = [self.single[b] for b in word]
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i) for i in range(n - 1) if (r := self.rank(ids[i], ids[i + 1])) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := self.rank(ids[i], ids[i + 1])) >= 0]
         heapify(heap)
         while heap:
             r, i = heappop(heap)
@@ -70,60 +67,95 @@ class MergeReplay:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (s := self.rank(r, ids[k])) is not None:
+                if (s := self.rank(r, ids[k])) >= 0:
                     heappush(heap, (s, i))
-            if (k := before[i]) >= 0 and (s := self.rank(ids[k], r)) is not None:
+            if (k := before[i]) >= 0 and (s := self.rank(ids[k], r)) >= 0:
                 heappush(heap, (s, k))
         return [x for x, there in zip(ids, alive) if there]
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word."""
-        ranks, single, rank = self.ranks, self.single, self.rank
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        ranks, rank, known = self.ranks, self.rank, self.pairs.get
         out: list = [None] * len(words)
-        ids: list[int] = []
-        owner: list[int] = []
+        split = []
         for w, word in enumerate(words):
             if (whole := ranks.get(word)) is not None:
                 out[w] = [whole]
             else:
-                ids += [single[b] for b in word]
-                ids.append(-1)
-                owner += [w] * (len(word) + 1)
-        n = len(ids)
+                split.append(w)
+        lengths = np.array([len(words[w]) + 1 for w in split], np.int64)
+        ends = np.cumsum(lengths)
+        n = int(ends[-1]) if split else 0
+        start_ids = np.full(n, -1, np.int64)
+        inside = np.ones(n, bool)
+        inside[ends - 1] = False
+        start_ids[inside] = np.array(self.single)[np.frombuffer(b"".join(words[w] for w in split), np.uint8)]
+        owner = np.repeat(np.array(split, np.int64), lengths)
+        # the inverted index: rank of a mergeable pair to the positions of its left tokens
+        at = np.flatnonzero(inside[:-1] & inside[1:])
+        codes, code = np.unique(start_ids[at] << 32 | start_ids[at + 1], return_inverse=True)
+        rank_of = np.array([rank(c >> 32, c & 0xFFFFFFFF) for c in codes.tolist()], np.int64)[code] if len(at) else at
+        at, rank_of = at[rank_of >= 0], rank_of[rank_of >= 0]
+        by_rank = np.argsort(rank_of, kind="stable")
+        at, rank_of = at[by_rank], rank_of[by_rank]
+        cuts = np.flatnonzero(np.diff(rank_of)) + 1
+        where = {int(rank_of[lo]): at[lo:hi].tolist() for lo, hi in
+                 zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]) if hi > lo}
+        ids = start_ids.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        where: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            a, b = ids[i], ids[i + 1]
-            if a >= 0 and b >= 0 and (r := rank(a, b)) is not None:
-                where.setdefault(r, []).append(i)
         order = list(where)
         heapify(order)
         backward: set[int] = set()
         while order:
             r = heappop(order)
-            for i in sorted(where.pop(r, ())):
+            positions = where.pop(r, None)
+            if positions is None:
+                continue
+            positions.sort()
+            for i in positions:
                 a = ids[i]
                 if a < 0:
                     continue
                 j = after[i]
-                if ids[j] < 0 or rank(a, ids[j]) != r:
+                b = ids[j]
+                if b < 0 or known(a << 32 | b) != r:
                     continue
                 k = after[j]
                 ids[i], ids[j] = r, -2
                 after[i] = k
                 before[k] = i
-                for left, right, at in ((r, ids[k], i), (ids[before[i]] if i else -1, r, before[i])):
-                    if left >= 0 and right >= 0 and (s := rank(left, right)) is not None:
+                c = ids[k]
+                if c >= 0:
+                    s = known(r << 32 | c)
+                    if s is None:
+                        s = rank(r, c)
+                    if s >= 0:
                         if s <= r:  # the merge would come before others of this rank: replay that word alone
-                            backward.add(owner[i])
+                            backward.add(int(owner[i]))
+                        if s in where:
+                            where[s].append(i)
+                        else:
+                            where[s] = [i]
+                            heappush(order, s)
+                h = before[i]
+                c = ids[h] if h >= 0 else -1
+                if c >= 0:
+                    s = known(c << 32 | r)
+                    if s is None:
+                        s = rank(c, r)
+                    if s >= 0:
+                        if s <= r:
+                            backward.add(int(owner[i]))
                         if s in where:
-                            where[s].append(at)
+                            where[s].append(h)
                         else:
-                            where[s] = [at]
+                            where[s] = [h]
                             heappush(order, s)
         start = 0
         while start < n:
-            w, row, i = owner[start], [], start
+            w, row, i = int(owner[start]), [], start
             while ids[i] != -1:
                 row.append(ids[i])
                 i = after[i]
