@@ -13,28 +13,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups above SLICE_ROWS rows are hot, at most the MAX_HOT largest of them: a bounded set of keys
-# that can be broadcast. A group left out of it holds less than 1 / MAX_HOT of all rows and is
-# processed in one piece, with the same result.
+# Groups above SLICE_ROWS rows are hot and cut into steps. The order of rows is the same either way.
 SLICE_ROWS = 10_000
-MAX_HOT = 100_000
 
 
-def id_slice(key: str | Column, slices: int = 1024) -> Column:
-    """A slice of the id space, 0 … slices − 1."""
-    return F.pmod(F.xxhash64(key), F.lit(slices))
+def id_digest(key: str) -> Column:
+    """A digest that orders ids at random; ties in it are broken by the id."""
+    return F.md5(F.col(key).cast("string"))
+
+
+def id_slice(key: str) -> Column:
+    """The first four hex digits of the digest, 0 … 65535: it does not decrease along the digest."""
+    return F.conv(F.substring(id_digest(key), 1, 4), 16, 10).cast("bigint")
 
 
 def hot_groups(df: DataFrame, group: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Keys of the groups that are too large for one task."""
     return (df.groupBy(*group).agg(F.count("*").alias("_rows"))
             .filter(F.col("_rows") > slice_rows)
-            .orderBy(F.desc("_rows"), *group).limit(MAX_HOT)
             .select(*group, F.lit(True).alias("_hot")))
 
 
 def _in_steps(df: DataFrame, hot: DataFrame, group: Sequence[str], step: Column, how: str) -> DataFrame:
-    return (df.join(F.broadcast(hot), list(group), how)
+    return (df.join(hot, list(group), how)
             .withColumn("_step", F.when(F.col("_hot"), step.cast("bigint")).otherwise(F.lit(0)))
             .drop("_hot"))
 
@@ -42,7 +43,7 @@ def _in_steps(df: DataFrame, hot: DataFrame, group: Sequence[str], step: Column,
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], step: Column,
            position: str = "position", size: str | None = None, slice_rows: int = SLICE_ROWS,
            sized_by: DataFrame | None = None) -> DataFrame:
-    """0-based ``position`` of each row in its group by ``order``; in a hot group by ``step`` first.
+    """0-based ``position`` of each row in its group by ``order``, along which ``step`` must not decrease.
 
     ``size``, when named, receives the number of rows in the group. ``sized_by`` may stand in for
     ``df`` when group sizes are cheaper to tell from something else; a rough count will do.
@@ -91,9 +92,11 @@ def previous(df: DataFrame, group: Sequence[str], order: Sequence[str], value: s
 def report_rank(report: DataFrame, value: str, rank: str = "rank") -> DataFrame:
     """Competition rank over a whole report, highest value first and NULLs last.
 
-    For frames that are already summed up to one row per name or code. Those few rows meet in one
-    task, after everything below them has run once; counting the rows ahead of each value by a
-    self-join would run all of it twice.
+    Rows are counted per distinct value first; only those counts (of rounded figures or head counts) are put in
+    order together, and the rank is joined back on the value.
     """
-    return report.withColumn(rank, F.rank().over(Window.orderBy(F.col(value).desc_nulls_last()))
-                             .cast("bigint"))
+    counts = report.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    ahead = (Window.orderBy(F.col("_value").desc_nulls_last())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counts.select("_value", (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) + 1).alias(rank))
+    return report.join(ranks, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")

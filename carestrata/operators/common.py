@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from carestrata.functions.scalars import full_name
 
-# Rows of a top-k result, up to which it is broadcast to the table that decorates it.
-BROADCAST_ROWS = 10_000
 
 def person_name() -> Column:
     return full_name("first_name", "last_name")
@@ -26,12 +24,14 @@ def top_with(df: DataFrame, order: Sequence[Column], k: int,
              *parents: tuple[DataFrame, str]) -> DataFrame:
     """First ``k`` rows in order, each with the columns of its parents.
 
-    The rows are chosen first. A parent's key is unique, so there are never more than ``k`` of
-    them, and the big parent tables are read where they lie instead of being shuffled.
+    Rows without one of the parents do not count towards ``k``: only keys are compared for that. The rows are
+    chosen before they are widened; a parent's key is unique, so there are never more than ``k`` of them.
     """
+    for parent, key in parents:
+        df = df.join(parent.select(key), key, "left_semi")
     rows = df.orderBy(*order).limit(k)
     for parent, key in parents:
-        rows = parent.join(F.broadcast(rows) if k <= BROADCAST_ROWS else rows, key)
+        rows = parent.join(rows, key)
     return rows.orderBy(*order)
 
 

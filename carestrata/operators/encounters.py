@@ -85,7 +85,7 @@ def readmissions(encounters: DataFrame, within_days: int = 30) -> DataFrame:
     ahead = (Window.partitionBy("patient_id").orderBy(F.unix_date("day"))
              .rangeBetween(Window.currentRow, within_days))
     admissions = days.select("patient_id", "day", F.sum("n").over(ahead).alias("n"))
-    itself = F.when(days_between("admitted", "day") >= 0, 1).otherwise(0)
+    itself = F.when(days_between("admitted", "day").between(0, within_days), 1).otherwise(0)
     return (stays.join(admissions, ["patient_id", "day"])
             .select("encounter_id", "patient_id", "admitted", F.col("day").alias("discharged"),
                     (F.col("n") - itself > 0).alias("readmitted")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carestrata.functions.scalars import clipped, utc_text
-from carestrata.functions.series import SLICE_ROWS, id_slice, ranked
+from carestrata.functions.series import SLICE_ROWS, id_digest, id_slice, ranked
 from carestrata.operators.common import person_name
 from carestrata.schema import NODE_STYLE
 
@@ -93,13 +93,13 @@ def graph_summary(tables: dict[str, DataFrame]) -> DataFrame:
 def graph_layout(nodes: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Circular layout per patient: the patient in the middle, the others around in kind order.
 
-    Node i of n sits at angle 2π(i−1)/(n−1) and radius 2 + (i mod 3)/2. Nodes of a kind follow their
-    id; a patient with very many nodes is numbered by slices of the ids, rather than in one task.
+    Node i of n sits at angle 2π(i−1)/(n−1) and radius 2 + (i mod 3)/2. Nodes of a kind follow a
+    digest of their id; a patient with very many nodes is numbered by slices of it, rather than in one task.
     """
     ordinal = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     numbered = nodes.select("node_id", "patient_id", ordinal.alias("ordinal"))
-    placed = ranked(numbered, ["patient_id"], [F.asc("ordinal"), F.asc("node_id")],
-                    F.col("ordinal") * 4096 + id_slice("node_id", 4096), "i", size="n",
+    placed = ranked(numbered, ["patient_id"], [F.asc("ordinal"), id_digest("node_id"), F.asc("node_id")],
+                    F.col("ordinal") * 65_536 + id_slice("node_id"), "i", size="n",
                     slice_rows=slice_rows, sized_by=nodes.select("patient_id"))
     angle = 2 * F.pi() * (F.col("i") - 1) / F.nullif(F.col("n") - 1, F.lit(0))
     radius = 2 + (F.col("i") % 3) * 0.5

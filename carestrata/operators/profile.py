@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carestrata.functions.series import SLICE_ROWS, id_slice, ranked
+from carestrata.functions.series import SLICE_ROWS, id_digest, id_slice, ranked
 from carestrata.operators.demographics import demographics
 from carestrata.operators.encounters import encounter_history
 from carestrata.operators.safety import ae_history
@@ -71,8 +71,10 @@ def patient_profiles(tables: dict[str, DataFrame], as_of, page_size: int = 500,
     bound and nothing is left out. Page 0 exists for every patient and carries the demographics.
     """
     # newest day first; a patient with very many entries is numbered by day and slice of the keys
-    newest_first = -F.unix_date("day").cast("bigint") * 1024 + id_slice("key", 1024)
-    entries = ranked(_entries(tables), ["patient_id", "tab"], [F.desc("day"), F.asc("key")],
+    undated = F.lit(1 << 31)
+    newest_first = F.coalesce(-F.unix_date("day").cast("bigint"), undated) * 65_536 + F.coalesce(id_slice("key"), F.lit(-1))
+    entries = ranked(_entries(tables), ["patient_id", "tab"],
+                     [F.desc_nulls_last("day"), id_digest("key"), F.asc("key")],
                      newest_first, slice_rows=slice_rows, sized_by=_members(tables))
     paged = entries.withColumn("page", F.floor(F.col("position") / page_size).cast("int"))
     person = demographics(tables["patients"], as_of)

@@ -54,6 +54,11 @@ def treatment_facts(treatments: DataFrame, outcomes: DataFrame | None = None,
     return df.na.fill(0, counts)
 
 
+def children_of(children: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Only the outcomes or events of chosen treatments: what a filter leaves out is not summed or shuffled."""
+    return children.join(ids(chosen, "treatment_id"), "treatment_id", "left_semi")
+
+
 def efficacy_scorecard(treatments: DataFrame, outcomes: DataFrame, adverse_events: DataFrame,
                        serious_by: str = "severity") -> DataFrame:
     """Patients, outcomes and safety per treatment name and type, best improvement rate first."""
@@ -111,9 +116,16 @@ def treatment_history_by_name(treatments: DataFrame, outcomes: DataFrame, patien
 
 # --- treatment analytics page; ``facets`` is a Column from predicates.treatment_facets ----------
 
+def _chosen(treatments: DataFrame, facets: Column | None, *children: DataFrame) -> tuple[DataFrame, ...]:
+    if facets is None:
+        return treatments, *children
+    chosen = treatments.filter(facets)
+    return chosen, *[children_of(c, chosen) for c in children]
+
+
 def treatment_kpis(treatments: DataFrame, outcomes: DataFrame, facets: Column | None = None) -> DataFrame:
     """One row; the improvement rate is 0 when there are no outcomes."""
-    chosen = treatments if facets is None else treatments.filter(facets)
+    chosen, outcomes = _chosen(treatments, facets, outcomes)
     return (treatment_facts(chosen, outcomes)
             .agg(F.count("*").alias("total_treatments"),
                  F.countDistinct("patient_id").alias("unique_patients"),
@@ -126,7 +138,7 @@ def treatment_kpis(treatments: DataFrame, outcomes: DataFrame, facets: Column |
 def outcome_distribution(treatments: DataFrame, outcomes: DataFrame,
                          facets: Column | None = None) -> DataFrame:
     """treatment_name, outcome_type, count."""
-    chosen = treatments if facets is None else treatments.filter(facets)
+    chosen, outcomes = _chosen(treatments, facets, outcomes)
     per_treatment = outcomes.groupBy("treatment_id", "outcome_type").agg(F.count("*").alias("n"))
     return (per_treatment.join(chosen.select("treatment_id", "treatment_name"), "treatment_id")
             .groupBy("treatment_name", "outcome_type").agg(F.sum("n").alias("count"))
@@ -136,7 +148,7 @@ def outcome_distribution(treatments: DataFrame, outcomes: DataFrame,
 def baseline_vs_result(treatments: DataFrame, outcomes: DataFrame, facets: Column | None = None,
                        at_least: int = 2) -> DataFrame:
     """Mean baseline and result of names with enough outcomes."""
-    chosen = treatments if facets is None else treatments.filter(facets)
+    chosen, outcomes = _chosen(treatments, facets, outcomes)
     return (chosen.select("treatment_id", "treatment_name")
             .join(outcome_facts(outcomes), "treatment_id")
             .groupBy("treatment_name")
@@ -163,7 +175,7 @@ def treatment_detail(treatments: DataFrame, outcomes: DataFrame, adverse_events:
     number of adverse events (1 when there are none). That figure is the default, computed from
     sums; ``corrected`` weighs every outcome once.
     """
-    chosen = treatments if facets is None else treatments.filter(facets)
+    chosen, outcomes, adverse_events = _chosen(treatments, facets, outcomes, adverse_events)
     weight = F.lit(1) if corrected else F.greatest("events", F.lit(1))
     weighted = [F.sum(F.col(c).cast(WIDE) * weight).alias(c)
                 for c in ("sum_baseline_value", "sum_result_value")]
@@ -211,7 +223,7 @@ def compare_treatments(treatments: DataFrame, outcomes: DataFrame, adverse_event
         for i, part in enumerate((first, second))]))
     chosen = (treatments.select("treatment_id", "patient_id", "treatment_name")
               .withColumn("side", F.explode(sides)))
-    totals = (treatment_facts(chosen, outcomes, adverse_events).groupBy("side")
+    totals = (treatment_facts(chosen, children_of(outcomes, chosen), children_of(adverse_events, chosen)).groupBy("side")
               .agg(F.count("*").alias("treatments"), F.countDistinct("patient_id").alias("patients"),
                    *[F.sum(c).alias(c) for c in (*_OUTCOME_COUNTS, *_EVENT_COUNTS)])
               .select("side", *[F.col(c).cast("double").alias(c) for c in (
@@ -260,6 +272,7 @@ def treatment_ranking(treatments: DataFrame, outcomes: DataFrame, adverse_events
     if diagnoses is not None:
         cohort = ids(diagnoses.filter(F.col("icd10_code").startswith(code_prefix)))
         treatments = treatments.join(cohort, "patient_id", "left_semi")
+        outcomes, adverse_events = children_of(outcomes, treatments), children_of(adverse_events, treatments)
     card = efficacy_scorecard(treatments, outcomes, adverse_events)
     return report_rank(card, "improvement_rate_pct").orderBy("rank", "treatment_name",
                                                                  "treatment_type")

@@ -310,22 +310,26 @@ CATALOG: dict[str, Callable[[Tables], DataFrame]] = {
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return (spark.readStream.schema(known).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    # several files in no date order, one per micro-batch
+    folder = f"{shared_folder(spark)}/events"
+    (spark.read.parquet(f"{sf_dir}/events.parquet").repartition(4, F.xxhash64("event_id"))
+     .write.parquet(folder))
+    return spark.readStream.schema(known).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def stream_lab_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lab submissions as a stream, checked and recorded per micro-batch; what was accepted."""
+    """Lab submissions as a stream, checked and recorded per micro-batch: all of them, with the reason of the rejected."""
     folder = shared_folder(spark)
     static = clinical_views(spark, sf_dir)
     live = clinical_views(spark, sf_dir, _event_stream(spark, sf_dir))
     source, columns = SUBMISSIONS[L]
     incoming = live[source].select(
-        *[F.expr(e).alias(c) for c, e in columns.items()],
-        F.col("collected_date").cast("timestamp").alias("submitted_at"))
+        *[F.expr(e).alias(c) for c, e in columns.items()])
     start_entry(incoming, lambda batch, n: ingest.ingest_labs(batch, static[E]), f"{folder}/labs",
-                f"{folder}/labs_checkpoint", "submitted_at").awaitTermination()
-    return recorded(spark, f"{folder}/labs").select(
-        "submission_id", "lab_id", "patient_id", "test_name", "reference_low", "collected_date")
+                f"{folder}/labs_checkpoint").awaitTermination()
+    kept = ["submission_id", "lab_id", "patient_id", "test_name", "reference_low", "collected_date"]
+    entered = recorded(spark, f"{folder}/labs").select(*kept, F.lit(None).cast("string").alias("reason"))
+    return entered.unionByName(recorded(spark, f"{folder}/labs", "rejected").select(*kept, "reason"))
 
 
 def stream_ae_surveillance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,8 +224,8 @@ _PATIENT = {
       case when page = 0 then any_value({_AGE}) end as age, {_TAB_COUNTS}
       from rows r join patients p on p.patient_id = r.patient_id group by r.patient_id, page""",
     "patient_profile_labs": """with numbered as (
-        select *, row_number() over (partition by patient_id order by cast(collected_date as date) desc,
-          cast(lab_id as varchar)) - 1 as i from lab_results)
+        select *, row_number() over (partition by patient_id order by cast(collected_date as date) desc nulls last,
+          md5(cast(lab_id as varchar)), cast(lab_id as varchar)) - 1 as i from lab_results)
       select patient_id, cast(i // 50 as int) as page, cast(i % 50 as int) as at, test_name,
       result_value, collected_date from numbered""",
 }
@@ -435,7 +435,7 @@ _GRAPH = {
         (select count(*) from adverse_events x where x.patient_id = p.patient_id) as adverse_events
       from patients p)""",
     "graph_layout": f"""with placed as (select patient_id, node_id,
-        row_number() over (partition by patient_id order by ordinal, node_id) - 1 as i,
+        row_number() over (partition by patient_id order by ordinal, md5(node_id), node_id) - 1 as i,
         count(*) over (partition by patient_id) as n from ({_NODES}))
       select patient_id, node_id, i, n,
       case when i = 0 then 0.0::double else round((2 + (i % 3) * 0.5::double) * cos(2 * pi() * (i - 1) / (n - 1)), 6) + 0.0::double end as x,
@@ -739,7 +739,7 @@ _INGEST["ingest_labs"] = _labs("reference_low", "from c")
 _INGEST["ingest_labs_zero_as_missing"] = _labs("nullif(reference_low, 0)", "from c")
 
 _STREAMS = {
-    "stream_lab_entry": _labs("reference_low", "exclude (reason) from c where reason is null"),
+    "stream_lab_entry": _labs("reference_low", "from c"),
     "stream_ae_surveillance": """with w as (select severity, cast(floor(date_diff('day', date '1970-01-01', onset_date) / 7.0) as int)
         as k from adverse_events)
       select cast(date '1970-01-01' + k * 7 as date) as window_start,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,17 +13,24 @@ from carestrata.operators.ingest import record
 
 
 def start_entry(submissions: DataFrame, check: Callable[[DataFrame, int], DataFrame], directory: str,
-                checkpoint: str, event_time: str, lateness: str = "1 day") -> StreamingQuery:
-    """Check and record every submission once; a resubmission within the lateness is dropped.
+                checkpoint: str) -> StreamingQuery:
+    """Check and record every submission once, whatever date it carries; a resubmission of any age is dropped.
 
-    ``check(batch, batch_id)`` gets a plain batch. Micro-batches overwrite their own folder, so one
-    that is run again after a failure does not add rows.
+    ``check(batch, batch_id)`` gets a plain batch. Repeats inside a batch collapse by ``submission_id``, repeats of
+    earlier ones are found among the ids recorded by smaller batch numbers, so no state and no time horizon is
+    kept. Micro-batches overwrite their own folder: one that is run again after a failure does not add rows.
     """
-    once = (submissions.withWatermark(event_time, lateness)
-            .dropDuplicatesWithinWatermark(["submission_id"]))
-    return (once.writeStream
-            .foreachBatch(lambda batch, n: record(check(batch, n), directory, n))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    def step(batch: DataFrame, n: int) -> None:
+        fresh = batch.dropDuplicates(["submission_id"])
+        try:
+            earlier = batch.sparkSession.read.parquet(directory).filter(F.col("ingest_batch") < n)
+            fresh = fresh.join(earlier.select("submission_id").distinct(), "submission_id", "left_anti")
+        except AnalysisException:  # nothing recorded yet
+            pass
+        record(check(fresh, n), directory, n)
+
+    return (submissions.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def recorded(spark: SparkSession, directory: str, status: str = "accepted",

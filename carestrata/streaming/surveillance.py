@@ -7,31 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def severity_windows(adverse_events: DataFrame, width: str = "7 days",
-                     lateness: str | None = "7 days") -> DataFrame:
-    """window_start, window_end, severity, event_count, over a stream or a batch."""
+def severity_windows(adverse_events: DataFrame, width: str = "7 days") -> DataFrame:
+    """window_start, window_end, severity, event_count of a batch."""
     df = adverse_events.select("severity", F.col("onset_date").cast("timestamp").alias("onset_ts"))
-    if lateness and adverse_events.isStreaming:
-        df = df.withWatermark("onset_ts", lateness)
     return (df.groupBy(F.window("onset_ts", width), "severity").agg(F.count("*").alias("event_count"))
             .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                     "severity", "event_count"))
 
 
-def start_surveillance(adverse_events: DataFrame, directory: str, checkpoint: str, width: str = "7 days",
-                       lateness: str = "7 days") -> StreamingQuery:
-    """Write changed windows as they change; :func:`current` reads the state of play."""
+def start_surveillance(adverse_events: DataFrame, directory: str, checkpoint: str,
+                       width: str = "7 days") -> StreamingQuery:
+    """Write each micro-batch's counts under its own number; :func:`current` adds them up.
 
+    Events are often reported weeks after their onset, so no window is ever closed and no state is kept. An
+    update that is run again overwrites itself.
+    """
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{directory}/update={n}")
+        severity_windows(batch, width).write.mode("overwrite").parquet(f"{directory}/update={n}")
 
-    return (severity_windows(adverse_events, width, lateness).writeStream.outputMode("update")
-            .foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (adverse_events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def current(spark: SparkSession, directory: str) -> DataFrame:
-    """Latest count of every window: the row of the last update that touched it."""
+    """Count of every window over all updates."""
     updates = spark.read.parquet(directory)
-    return (updates.groupBy("window_start", "window_end", "severity")
-            .agg(F.max_by("event_count", "update").alias("event_count")))
+    return updates.groupBy("window_start", "window_end", "severity").agg(
+        F.sum("event_count").alias("event_count"))

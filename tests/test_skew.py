@@ -11,7 +11,7 @@ from carestrata.operators import graph, labs, profile
 from carestrata.plans.catalog import CATALOG, runners
 from carestrata.plans.oracle import oracle_queries
 from carestrata.sources.retail_mapping import AS_OF, clinical_views
-from tests.comparing import assert_same, database, rows_of
+from tests.comparing import assert_same, database
 
 SMALL = "/root/testdata/sf0.001"
 HOT = {
@@ -65,24 +65,13 @@ def test_hot_series_by_the_hour(views, db):
     assert_same(labs.lab_trends(views["lab_results"], slice_rows=40), db, oracle_queries()["lab_trends"])
 
 
-def test_hot_patient_numbered_by_slices(views):
-    nodes = graph.graph_nodes(views)
-    placed = graph.graph_layout(nodes, slice_rows=200).join(nodes.select("node_id", "kind"), "node_id")
-    kinds = list(graph.KINDS)
-    for patient in (7, 8):
-        rows = sorted((r.i, kinds.index(r.kind), r.n) for r in placed.filter(f"patient_id = {patient}").collect())
-        assert [r[0] for r in rows] == list(range(rows[0][2]))
-        assert [r[1] for r in rows] == sorted(r[1] for r in rows)
-
-
-def test_hot_profile_by_day_and_slice(views):
-    whole = profile.patient_profiles(views, AS_OF, page_size=50)
-    cut = profile.patient_profiles(views, AS_OF, page_size=50, slice_rows=100)
-    for tab in ("lab_results", "treatments"):
-        def entries(df):
-            return df.select("patient_id", F.explode(tab).alias("e")).select("patient_id", "e.*")
-        assert rows_of(entries(cut)) == rows_of(entries(whole))
-    assert rows_of(profile.profile_sizes(cut)) == rows_of(profile.profile_sizes(whole))
+@pytest.mark.parametrize("slice_rows", [1, 50])
+def test_positions_are_those_of_the_twin_at_every_slicing(spark, skewed, views, db, slice_rows):
+    assert_same(graph.graph_layout(graph.graph_nodes(views), slice_rows=slice_rows), db, oracle_queries()["graph_layout"])
+    pages = profile.patient_profiles(views, AS_OF, page_size=50, slice_rows=slice_rows)
+    labs_of = (pages.select("patient_id", "page", F.posexplode("lab_results").alias("at", "lab"))
+               .select("patient_id", "page", "at", "lab.test_name", "lab.result_value", "lab.collected_date"))
+    assert_same(labs_of, db, oracle_queries()["patient_profile_labs"])
 
 
 def test_hot_patient_spans_pages(spark, skewed):

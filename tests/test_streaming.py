@@ -28,7 +28,7 @@ def _run(spark, folder, out, clinic):
         return ingest.ingest_patients(batch, clinic["patients"].select("mrn").union(taken), "2025-08-01")
 
     stream = spark.readStream.schema(SUBMITTED).option("recursiveFileLookup", "true").parquet(folder)
-    start_entry(stream, check, out, f"{out}_checkpoint", "submitted_at").awaitTermination()
+    start_entry(stream, check, out, f"{out}_checkpoint").awaitTermination()
 
 
 def test_entry_drops_resubmissions_and_sees_earlier_batches(spark, clinic, tmp_path):
@@ -40,6 +40,12 @@ def test_entry_drops_resubmissions_and_sees_earlier_batches(spark, clinic, tmp_p
     _run(spark, folder, out, clinic)
     assert sorted(r.mrn for r in recorded(spark, out).collect()) == ["N-1", "N-2", "N-5"]
     assert sorted(r.submission_id for r in recorded(spark, out, "rejected").collect()) == ["3", "4"]
+    # years apart, in either direction: nothing is lost, and a repeat of any age stays a repeat
+    old = spark.createDataFrame([("6", dt.datetime(1999, 1, 1), "N-6", "A", "B", d("1970-01-01")),
+                                 ("1", dt.datetime(2031, 1, 1), "N-7", "A", "B", d("1970-01-01"))], SUBMITTED)
+    old.coalesce(1).write.parquet(f"{folder}/c")
+    _run(spark, folder, out, clinic)
+    assert sorted(r.mrn for r in recorded(spark, out).collect()) == ["N-1", "N-2", "N-5", "N-6"]
 
 
 def test_surveillance_over_several_batches_equals_batch(spark, tmp_path):
@@ -52,6 +58,6 @@ def test_surveillance_over_several_batches_equals_batch(spark, tmp_path):
     live = (spark.readStream.schema(events.schema).option("recursiveFileLookup", "true")
             .option("maxFilesPerTrigger", 1).parquet(folder))
     out = str(tmp_path / "out")
-    start_surveillance(live, out, f"{out}_checkpoint", lateness="4000 days").awaitTermination()
+    start_surveillance(live, out, f"{out}_checkpoint").awaitTermination()
     assert spark.read.parquet(out).select("update").distinct().count() == 3
     assert rows_of(current(spark, out)) == rows_of(severity_windows(events))
