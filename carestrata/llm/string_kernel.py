@@ -268,8 +268,9 @@ def fit(work: Workspace, docs: DataFrame, labels: DataFrame, sample_rows: int, r
     gain = part(p, F.lit(rate)) + part(n - p, F.lit(1 - rate))
     scored = counts.filter(p > 0.7 * n).withColumn("gain", gain)
     strong = scored.orderBy(F.desc("gain"), "word").limit(1500).collect()
-    # words that only toxic documents have by more than chance over the whole vocabulary; a few at least
-    positive = [r["word"] for i, r in enumerate(strong) if r["gain"] > np.log(10.0 * vocabulary) or i < 10]
+    # words that toxic documents have by more than chance over the whole vocabulary; the best ten for want of any
+    sure = [r["word"] for r in strong if r["gain"] > np.log(10.0 * vocabulary)]
+    positive = sure or [r["word"] for r in strong[:10]]
     common = counts.filter("p < n").orderBy(F.desc(n - p), "word").limit(3000)
     mixed = counts.filter("p = 0").orderBy(F.xxhash64("word"), "word").limit(4000)
     negative = [r["word"] for r in common.union(mixed).select("word").distinct().orderBy("word").collect()]
