@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from carestrata.plans.catalog import runners
 from tests.comparing import assert_same, database
 
 SMALL = "/root/testdata/sf0.001"
@@ -14,9 +15,9 @@ def db():
     return database(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(runners()))
 def test_query_equals_its_twin(spark, db, name):
-    df = entry.queries()[name](spark, SMALL)
+    df = runners()[name](spark, SMALL)
     if name in ORACLE:
         assert_same(df, db, ORACLE[name])
     else:
@@ -24,7 +25,7 @@ def test_query_equals_its_twin(spark, db, name):
 
 
 def test_only_the_nested_query_has_no_twin():
-    assert set(entry.queries()) - set(ORACLE) == {"patient_profiles"}
+    assert set(runners()) - set(ORACLE) == {"patient_profiles"}
 
 
 def test_entry(spark):
