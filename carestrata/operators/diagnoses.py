@@ -79,7 +79,8 @@ def time_to_treatment(diagnoses: DataFrame, treatments: DataFrame, code_prefix:
     """Per patient: first diagnosis under the prefix, and the first treatment from that day on."""
     first = (diagnoses.filter(F.col("icd10_code").startswith(code_prefix))
              .groupBy("patient_id").agg(F.min("diagnosed_date").alias("diagnosed")))
-    starts = treatments.select("patient_id", "start_date").distinct()
+    # the cohort comes first: only its treatments are grouped
+    starts = treatments.select("patient_id", "start_date")
     return (first.join(starts, "patient_id").filter("start_date >= diagnosed")
             .groupBy("patient_id", "diagnosed").agg(F.min("start_date").alias("first_treatment"))
             .withColumn("days_to_treatment", F.date_diff("first_treatment", "diagnosed")))

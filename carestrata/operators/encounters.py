@@ -94,9 +94,10 @@ def readmissions(encounters: DataFrame, within_days: int = 30) -> DataFrame:
 def readmission_rates(encounters: DataFrame, diagnoses: DataFrame,
                       within_days: int = 30) -> DataFrame:
     """icd10_code, description, stays, readmitted, readmission_rate_pct."""
-    coded = diagnoses.select("encounter_id", "icd10_code", "description").distinct()
+    coded = diagnoses.select("encounter_id", "icd10_code", "description")
     stays = readmissions(encounters, within_days).select("encounter_id", "readmitted")
-    return (stays.join(coded, "encounter_id")
+    # only the diagnoses of inpatient stays are made distinct
+    return (stays.join(coded, "encounter_id").distinct()
             .groupBy("icd10_code", "description")
             .agg(F.count("*").alias("stays"), F.count_if("readmitted").alias("readmitted"))
             .withColumn("readmission_rate_pct", percent(F.col("readmitted"), F.col("stays")))

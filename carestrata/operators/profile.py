@@ -96,3 +96,9 @@ def profile_sizes(profiles: DataFrame) -> DataFrame:
     return profiles.select("patient_id", "page", F.col("demographics.mrn").alias("mrn"),
                            F.col("demographics.age").alias("age"),
                            *[F.size(tab).cast("bigint").alias(tab) for tab in TABS])
+
+
+def profile_tab(profiles: DataFrame, tab: str) -> DataFrame:
+    """One tab's entries with all their fields: patient_id, page, at (place on the page) and the fields."""
+    return (profiles.select("patient_id", "page", F.posexplode(tab).alias("at", "entry"))
+            .select("patient_id", "page", "at", "entry.*"))

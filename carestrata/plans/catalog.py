@@ -97,6 +97,10 @@ PATIENT = {
         profile.patient_profiles(t, AS_OF, page_size=50)
         .select("patient_id", "page", F.posexplode("lab_results").alias("at", "lab"))
         .select("patient_id", "page", "at", "lab.test_name", "lab.result_value", "lab.collected_date")),
+    "patient_profile_people": lambda t: (
+        profile.patient_profiles(t, AS_OF, page_size=50).filter("page = 0").select("patient_id", "demographics.*")),
+    **{f"patient_profile_{tab}": (lambda t, tab=tab: profile.profile_tab(
+        profile.patient_profiles(t, AS_OF, page_size=50), tab)) for tab in profile.TABS},
 }
 
 TREATMENT = {

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 
+from carestrata.operators.profile import TABS
 from carestrata.plans.catalog import SUBMISSIONS
+from carestrata.schema import AGE_BANDS, COHORT_AGE_BANDS
 from carestrata.sources.retail_mapping import AS_OF, COLUMNS, LABS_AS_OF
 
 _FROM = {
@@ -73,10 +75,15 @@ _CHANGE = ("(case when baseline_value <> 0 then sign(result_value - baseline_val
 _NAME = "first_name || ' ' || last_name"
 _PNAME = "p.first_name || ' ' || p.last_name"
 _AGE = f"cast(extract(year from age(date '{AS_OF}', date_of_birth)) as int)"
-_BAND = (f"case when {_AGE} >= 75 then '75+' when {_AGE} >= 65 then '65–74' when {_AGE} >= 55"
-         f" then '55–64' when {_AGE} >= 40 then '40–54' else '< 40' end")
-_COHORT_BAND = (f"case when {_AGE} >= 75 then '75+' when {_AGE} >= 65 then '65–74'"
-                f" when {_AGE} >= 55 then '55–64' else '< 55' end")
+
+
+def _band(bands: list) -> str:
+    """The label of an age: the first band whose exclusive upper age is above it, else the open one."""
+    closed = " ".join(f"when {_AGE} < {top} then '{label}'" for top, label in bands if top is not None)
+    return f"case {closed} else '{bands[-1][1]}' end"
+
+
+_BAND, _COHORT_BAND = _band(AGE_BANDS), _band(COHORT_AGE_BANDS)
 _UTC = "strftime({}, '%Y-%m-%d %H:%M:%S') || '+00'"
 
 
@@ -111,8 +118,8 @@ _DASHBOARD = {
     "efficacy_scorecard": _scorecard(),
     "outcome_trends": f"""select {_PNAME} as patient_name, treatment_name, outcome_measure,
       assessment_date, baseline_value, result_value, unit, {_CHANGE} as pct_change
-      from treatment_outcomes o, patients p, treatments t
-      where p.patient_id = o.patient_id and t.treatment_id = o.treatment_id""",
+      from treatment_outcomes o join patients p on p.patient_id = o.patient_id
+      join treatments t on t.treatment_id = o.treatment_id""",
     "ae_monitor": f"""select treatment_name, event_type, severity, ctcae_grade, count(*) as event_count,
       {_half_up("sum(date_diff('day', onset_date, resolution_date))", "count(resolution_date)", 10)} as avg_duration_days
       from treatments join adverse_events using (treatment_id)
@@ -143,7 +150,7 @@ _DASHBOARD = {
         cast((select count(*) from treatments where status = 'active') as varchar),
         cast((select count(*) from encounters) as varchar),
         cast((select count(*) from adverse_events) as varchar),
-        cast((select count(*) from adverse_events where ctcae_grade > 2) as varchar)]) as value""",
+        cast((select count(*) from adverse_events where ctcae_grade >= 3) as varchar)]) as value""",
     "cancer_treatment_outcomes": """select description as diagnosis, treatment_name, outcome_type,
       count(distinct patient_id) as patient_count
       from diagnoses join treatments using (patient_id)
@@ -230,6 +237,21 @@ _PATIENT = {
       result_value, collected_date from numbered""",
 }
 
+
+def _profile_tab(tab: str, source: str, day: str, key: str) -> str:
+    """Every field of one tab with its page and place: newest day first, then by digest of the key."""
+    return f"""with numbered as (select *, row_number() over (partition by patient_id order by
+        cast({day} as date) desc nulls last, md5({key}), {key}) - 1 as i from ({source}) x)
+      select patient_id, cast(i // 50 as int) as page, cast(i % 50 as int) as at, {', '.join(TABS[tab][2])}
+      from numbered"""
+
+
+_SHOWN = {"encounters": "encounter_history", "treatments": "treatment_history", "medications": "medication_history",
+          "adverse_events": "ae_history"}
+_PATIENT |= {f"patient_profile_{tab}": _profile_tab(
+    tab, _PATIENT[_SHOWN[tab]] if tab in _SHOWN else f"select * from {tab}", day, key) for tab, _, day, key in _TABS}
+_PATIENT["patient_profile_people"] = _PATIENT["demographics"]
+
 # --- treatment analytics ------------------------------------------------------------------------
 
 _MED = "treatment_type = 'medication' and status = 'active'"
@@ -255,7 +277,7 @@ def _averages(where: str) -> str:
     return f"""select treatment_name, {_avg2('baseline_value')} as avg_baseline,
       {_avg2('result_value')} as avg_result
       from treatment_outcomes join treatments using (treatment_id)
-      where {where} group by treatment_name having count(*) > 1"""
+      where {where} group by treatment_name having count(*) >= 2"""
 
 
 def _detail(where: str) -> str:
@@ -753,7 +775,7 @@ _TABLES = {f"table_{n}": f"select * from {n}" for n in COLUMNS}
 
 
 def oracle_queries() -> dict[str, str]:
-    """patient_profiles itself holds nested arrays; its sizes and its lab pages are checked instead."""
+    """patient_profiles itself holds nested arrays; its sizes and every field of its tabs are checked instead."""
     everything = {**_DASHBOARD, **_OVERVIEW, **_PATIENT, **_TREATMENT, **_SAFETY, **_LABS, **_PICKERS,
                   **_GRAPH, **_QUESTIONS, **_INGEST, **_STREAMS, **_TABLES}
     return {name: _twin(sql) for name, sql in everything.items()}
