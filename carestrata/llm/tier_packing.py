@@ -9,10 +9,9 @@ step groups of equal token counts.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_right, insort
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +28,20 @@ TIERS = (2048, 1024, 512, 256)
 ROUND_TOKENS = 2_000_000
 
 # letters without special case rules: a run of them is one piece, with or without the stop behind it
-_plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+
+
+def _gather(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``table`` one behind the other."""
+    ends = np.cumsum(lengths)
+    return table[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class WordCoder:
     """Ids of whole texts by a tokenizer that drops white space, remembering the words it has met.
 
-    Such a tokenizer never joins across white space, so words are encoded once each, many at a time.
+    Such a tokenizer never joins across white space, so words are encoded once each, many at a time; words of
+    letters are folded to lower case and parted from a stop behind them first.
     """
 
     def __init__(self, path: str):
@@ -45,54 +51,68 @@ class WordCoder:
         ends = [i for token, i in self.tool.get_vocab().items() if token.endswith("</w>")]
         self.last = np.zeros(self.tool.get_vocab_size(), bool)
         self.last[ends] = True
-        self.stops = {mark: tuple(self.tool.encode(mark, add_special_tokens=False).ids) for mark in (".", ",", "")}
-        self.known: dict[str, tuple] = {}
-        self.bases: dict[str, tuple] = {}
-
-    def _learn_bases(self, bases: list[str]) -> None:
-        for at in range(0, len(bases), 20_000):
-            some = bases[at:at + 20_000]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Know only the stops: nothing, full stop, comma."""
+        self.numbers: dict[str, int] = {}
+        self.table = np.zeros(0, np.uint32)
+        self.starts = np.zeros(1, np.int64)
+        self._learn([], ["", ".", ","])
+
+    def _learn(self, letters: list[str], other: list[str]) -> None:
+        """Number new words and append their ids to the table."""
+        ids, ends = [self.table], [self.starts]
+        for at in range(0, len(letters), 20_000):
+            some = letters[at:at + 20_000]
             runs = [" ".join(some[i:i + 500]) for i in range(0, len(some), 500)]
-            ids = np.concatenate([e.ids for e in self.tool.encode_batch_fast(runs, add_special_tokens=False)])
-            ends = np.flatnonzero(self.last[ids]) + 1
-            ids, start = ids.tolist(), 0
-            for base, end in zip(some, ends.tolist(), strict=True):
-                self.bases[base] = tuple(ids[start:end])
-                start = end
-
-    def _learn(self, new: list[str]) -> None:
-        plain, other = [], []
-        for word in new:
-            found = _plain.fullmatch(word)
-            if found:
-                plain.append((word, found[1].lower(), found[2]))
-            else:
-                other.append(word)
-        self._learn_bases(list({base for _, base, _ in plain if base not in self.bases}))
-        for word, base, stop in plain:
-            self.known[word] = self.bases[base] + self.stops[stop]
-        for word, coded in zip(other, self.tool.encode_batch_fast(other, add_special_tokens=False)):
-            self.known[word] = tuple(coded.ids)
+            found = [np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast(runs, add_special_tokens=False)]
+            found = np.concatenate(found)
+            stops = np.flatnonzero(self.last[found]) + 1
+            if len(stops) != len(some):
+                raise ValueError("a word of letters is more than one piece to this tokenizer")
+            ids.append(found)
+            ends.append(stops + ends[-1][-1])
+        if other:
+            found = [e.ids for e in self.tool.encode_batch_fast(other, add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            ends.append(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + ends[-1][-1])
+        count = len(self.numbers)
+        self.numbers.update(zip(chain(letters, other), range(count, count + len(letters) + len(other))))
+        self.table, self.starts = np.concatenate(ids), np.concatenate(ends)
+
+    def _numbers(self, bases: pa.Array) -> np.ndarray:
+        """The number of each of the distinct words, learned where it is new."""
+        words = bases.to_pylist()
+        numbers = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        new = numbers < 0
+        if new.any():
+            if len(self.numbers) + int(new.sum()) > REMEMBERED:
+                self._forget()
+                known = np.fromiter((w in self.numbers for w in words), bool, len(words))
+                new = ~known
+            plain = pc.match_substring_regex(bases, f"^{_LETTERS}$").to_numpy(zero_copy_only=False)
+            self._learn([words[i] for i in np.flatnonzero(new & plain)], [words[i] for i in np.flatnonzero(new & ~plain)])
+            numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        return numbers
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         # only ASCII white space splits here; whatever else a word holds, the tokenizer sees it whole
         parts = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
         found = parts.flatten().dictionary_encode()
-        words = found.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.bases.clear()
-            new = words
-        self._learn(new)
-        coded = [self.known[w] for w in words]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        table = np.fromiter(chain.from_iterable(coded), np.uint32)
+        words = found.dictionary
+        plain = pc.match_substring_regex(words, f"^{_LETTERS}[.,]?$")
+        stop = np.where(plain, np.where(pc.ends_with(words, "."), 1, np.where(pc.ends_with(words, ","), 2, 0)), 0)
+        bases = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, ".,")), words).dictionary_encode()
+        base = self._numbers(bases.dictionary)[bases.indices.to_numpy()]
+        # two stretches of the table for each distinct word, then one stretch of ids for each word of the texts
+        both = np.stack((base, stop), 1).ravel()
+        sizes = np.diff(self.starts)[both]
+        coded = _gather(self.table, self.starts[both], sizes)
+        lengths = sizes.reshape(-1, 2).sum(axis=1)
         at = found.indices.to_numpy()
-        counts = lengths[at]
-        ends = np.r_[0, np.cumsum(counts)]
-        ids = table[np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], counts) + np.arange(ends[-1])]
-        bounds = ends[parts.offsets.to_numpy()]
+        ids = _gather(coded, (np.cumsum(lengths) - lengths)[at], lengths[at])
+        bounds = np.r_[0, np.cumsum(lengths[at])][parts.offsets.to_numpy()]
         return [ids[lo:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
