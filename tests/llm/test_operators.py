@@ -134,6 +134,24 @@ def test_similar_lines(spark, nothing):
     assert fuzzy_lines.remove_lines(nothing).count() == 0
 
 
+def test_edit_distance_against_the_whole_table():
+    def table(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row = row, [i]
+            for j, d in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+        return row[-1]
+
+    random = np.random.default_rng(3)
+    for _ in range(2000):
+        x, y = ("".join(random.choice(list("abé漢🙂"), random.integers(0, 14))) for _ in range(2))
+        most = int(random.integers(0, 15))
+        assert fuzzy_lines.edit_distance(x, y, most) == min(table(x, y), most + 1)
+    long = "".join(random.choice(list("abcdef "), 3000))
+    assert fuzzy_lines.edit_distance(long, "z" + long[:1500] + long[1501:], 600) == 2
+
+
 def test_encoding_and_decoding(docs, nothing):
     tiktoken = pytest.importorskip("tiktoken")
     tool = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=merge_replay.read_ranks(MULTI), special_tokens={})
