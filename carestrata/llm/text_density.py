@@ -2,7 +2,8 @@
 
 For every node of the page: characters per tag, lowered where they stand in links. A node's density sum is the
 sum of its children's densities; the node with the largest sum holds the article. The lowest density on the
-way from it up to the body is the threshold for subtrees beside that way.
+way from it up to the body is the threshold for subtrees beside that way. <article> and <main> only weigh in, and
+names such as "sidebar" are evidence that a node's text and density can outweigh.
 """
 
 from __future__ import annotations
@@ -36,6 +37,13 @@ UNWANTED = set("ad ads adv advert adverts advertisement advertising banner bread
                "navigation newsletter notice popup promo promoted promotion related respond search share sharing sidebar "
                "signup social sponsor sponsored subscribe toolbar".split())
 ARTICLE = {"article", "main"}
+#: How much the sum of an article counts, and of a node under an unwanted name.
+MARKED, NAMED = 2.0, 0.5
+#: Characters from which the text under an unwanted name counts in full.
+ENOUGH = 500
+#: Part of the threshold that text beside the way needs inside an <article>; headings in <article> and <main> need none.
+EASED = 1 / 32
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: A start tag on the left ends open elements on the right.
 _blocks = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
               "header hr main menu nav ol p pre section table ul".split())
@@ -48,36 +56,40 @@ WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "unwanted", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "unwanted", "named", "marked", "chars", "tags", "link_chars", "link_tags",
+                 "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, unwanted: bool):
-        self.tag, self.parent, self.unwanted = tag, parent, unwanted
+    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False, named: bool = False):
+        self.tag, self.parent, self.unwanted, self.named = tag, parent, unwanted, named
+        self.marked = False  # holds an article or main element with text
         self.parts: list = []  # texts and nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the node is no text of the page at all, and whether its name speaks against it."""
     if tag in SKIPPED:
-        return True
+        return True, False
+    named = False
     if attributes:
         for found in _named.finditer(attributes):
             name = found[1].lower()
             value = found[2] or found[3] or found[4] or ""
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return True, False
             if name == "style":
                 if re.search(r"display\s*:\s*none", value, re.I):
-                    return True
+                    return True, False
             elif tag not in ("body", "html", "article", "main") and not UNWANTED.isdisjoint(
                     x.lower() for x in _part.findall(value)):
-                return True
-    return False
+                return True, False
+    return False, named
 
 
 def parse(html: str) -> Node:
     """The page's tree; unclosed and misplaced tags are mended as browsers do in the plain cases."""
-    root = at = Node("html", None, False)
+    root = at = Node("html", None)
     position, end = 0, len(html)
     while position < end:
         found = _mark.search(html, position)
@@ -101,7 +113,7 @@ def parse(html: str) -> Node:
             if node is not None and node.parent is not None:
                 at = node.parent
             elif tag in ("br", "p"):
-                at.parts.append(Node(tag, at, False))
+                at.parts.append(Node(tag, at))
             continue
         if tag in RAW:
             close = RAW[tag].search(html, position)
@@ -122,7 +134,7 @@ def parse(html: str) -> Node:
                 node = node.parent
             if outermost is not None and outermost.parent is not None:
                 at = outermost.parent
-        child = Node(tag, at, _unwanted(tag, found[3] or found[6] or ""))
+        child = Node(tag, at, *_unwanted(tag, found[3] or found[6] or ""))
         at.parts.append(child)
         if tag not in VOID:
             at = child
@@ -152,6 +164,8 @@ def _measure(root: Node) -> list[Node]:
                 node.tags += part.tags + 1
                 node.link_chars += part.chars if part.tag == "a" else part.link_chars
                 node.link_tags += part.link_tags + (part.tag == "a")
+                node.marked |= part.marked
+        node.marked |= node.tag in ARTICLE and node.chars > 0
     return order
 
 
@@ -166,7 +180,8 @@ def _densities(order: list[Node], body: Node) -> None:
         base = log(chars / free * node.link_chars + share * chars + e)
         node.density = chars / tags * max(log(chars / links * tags / link_tags), 0.0) / max(log(base), 1.0)
     for node in order:
-        node.total = sum(p.density for p in node.parts if isinstance(p, Node) and not p.unwanted) or node.density
+        node.total = sum(p.density for p in node.parts if isinstance(p, Node) and not p.unwanted
+                         and (p.marked or not p.named)) or node.density
 
 
 def _blocks_of(node: Node, keep) -> list[str]:
@@ -205,29 +220,36 @@ def main_text(html: str | None) -> str:
     """The article's blocks joined by line feeds; empty if the page has none."""
     root = parse(html or "")
     order = _measure(root)
-    # the page's own mark of its article narrows the search, the one with most text if there are several
-    marked = [n for n in order if n.tag in ARTICLE and n.chars]
-    body = max(marked, key=lambda n: (n.chars, n.tag == "article")) if marked else next(
-        (n for n in reversed(order) if n.tag == "body" and n.chars), root)
+    body = next((n for n in reversed(order) if n.tag == "body" and n.chars), root)
     if not body.chars:
         return ""
     inner = _subtree(body)
     _densities(inner, body)
-    best = max(inner, key=lambda n: n.total)
-    path, node = set(), best
-    threshold = best.density
-    while node is not body:
-        path.add(id(node))
-        node = node.parent
-        threshold = min(threshold, node.density)
-    path.add(id(body))
-    if marked:
-        threshold = 0.0  # everything in the article belongs to it
+    doubted: dict[int, float] = {}  # nodes at or below an unwanted name, up to an article in it
+    for node in reversed(inner):
+        if not node.marked and (node.named or id(node.parent) in doubted):
+            doubted[id(node)] = doubted.get(id(node.parent)) or min(node.chars / ENOUGH, 1.0)
+    best = max(inner, key=lambda n: n.total * (MARKED if n.tag in ARTICLE else NAMED * doubted[id(n)] if id(n) in doubted else 1.0))
+    way = [best]
+    while way[-1] is not body:
+        way.append(way[-1].parent)
+    threshold = min(n.density for n in way)
+    path, marks, eased = {id(n) for n in way}, set(), {}
+    for node in reversed(way):
+        marks |= ARTICLE & {node.tag}
+        eased[id(node)] = "article" in marks, bool(marks)
 
     def keep(part: Node) -> bool:
-        """Beside the way to the densest subtree only what reaches the threshold counts."""
-        beside = part.parent is not None and id(part.parent) in path and part.parent is not best and id(part) not in path
-        return not beside or part.tag in INLINE or part.density >= threshold
+        """Beside the way to the densest subtree only what reaches the threshold counts, and so do large named nodes."""
+        if id(part) in path:
+            return True
+        if part.named and not part.marked and (
+                part.chars * doubted[id(part)] < body.chars - part.chars or part.density < threshold):
+            return False
+        if part.parent is best or id(part.parent) not in path or part.tag in INLINE:
+            return True
+        article, marked = eased[id(part.parent)]
+        return marked and part.tag in HEADINGS or part.density >= threshold * (EASED if article else 1.0)
 
     return "\n".join(_blocks_of(body, keep))
 

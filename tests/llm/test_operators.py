@@ -261,6 +261,19 @@ def test_main_text(spark):
     assert text_density.extract(rows.filter("false")).count() == 0
 
 
+STORY = "".join(f"<p>{' '.join(words(40, 50 + i))}</p>" for i in range(5))
+STORY_TEXT = "\n".join(" ".join(words(40, 50 + i)) for i in range(5))
+TEASER = "<article><h2><a href=1>more of this</a></h2><p><a href=1>a few words here</a></p></article>"
+
+
+def test_densities_decide_over_article_marks():
+    main_text = text_density.main_text
+    assert main_text(f"<body>{TEASER * 3}<div>{STORY}</div>{TEASER * 2}</body>") == STORY_TEXT
+    assert main_text(f"<body><main><h1>Head</h1><div>{STORY}</div><div>{TEASER * 3}</div></main></body>") == "Head\n" + STORY_TEXT
+    links = "<ul><li><a href=1>one more page</a><li><a href=2>and another</a></ul>"
+    assert main_text(f"<body><article><h1>Head</h1><div>{STORY}</div>{links}</article></body>") == "Head\n" + STORY_TEXT
+
+
 def test_neighbours(spark):
     random = np.random.default_rng(6)
     vectors = random.normal(size=(600, 16)) * random.uniform(0.5, 2, (600, 1))
