@@ -83,7 +83,7 @@ def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
                     return True, False
             elif tag not in ("body", "html", "article", "main") and not UNWANTED.isdisjoint(
                     x.lower() for x in _part.findall(value)):
-                return True, False
+                named = True
     return False, named
 
 

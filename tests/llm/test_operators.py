@@ -274,6 +274,14 @@ def test_densities_decide_over_article_marks():
     assert main_text(f"<body><article><h1>Head</h1><div>{STORY}</div>{links}</article></body>") == "Head\n" + STORY_TEXT
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "comments-open", "ad-free", "share-page", "related-work"])
+def test_names_are_evidence_only(name):
+    main_text, ad = text_density.main_text, "<div class='ad'>buy this now</div>"
+    for inner in (STORY, f"<div>{STORY}</div>", f"<article>{STORY}</article>", f"<main>{STORY}</main>"):
+        assert main_text(f"<body>{ad}<div class='{name}'>{ad}{inner}</div>{ad}</body>") == STORY_TEXT
+        assert main_text(f"<body><section id='{name}'>{inner}</section></body>") == STORY_TEXT
+
+
 def test_neighbours(spark):
     random = np.random.default_rng(6)
     vectors = random.normal(size=(600, 16)) * random.uniform(0.5, 2, (600, 1))
