@@ -21,7 +21,7 @@ COORDINATES = 64
 COLUMNS_AT_ONCE = 2048
 _factors = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 
-SETS = "doc_id long, n_shingles long, node struct<k1:long,k2:long>, signature array<int>"
+SETS = "doc_id long, t long, n_shingles long, node struct<k1:long,k2:long>, signature array<int>"
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -68,10 +68,10 @@ def _signatures(size: int):
                         ranks = ((flat * factor) >> np.uint64(32)).astype(np.uint32)
                         marks[full, c] = np.minimum.reduceat(ranks, begins).view(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(row, len(sets)).cast(pa.int64()), pa.array(counts), node,
+                    ids.slice(row, len(sets)).cast(pa.int64()), batch.column(2).slice(row, len(sets)), pa.array(counts), node,
                     pa.ListArray.from_arrays(np.arange(0, (len(sets) + 1) * COORDINATES, COORDINATES, dtype=np.int32),
                                              pa.array(marks.ravel())),
-                ], ["doc_id", "n_shingles", "node", "signature"])
+                ], ["doc_id", "t", "n_shingles", "node", "signature"])
     return run
 
 
@@ -218,12 +218,14 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, size: int = 5,
                     percent: int = 80, trees: int = 10, small: int = 12, depth: int = 4, branches: int = 2,
-                    tile_rows: int = 1024) -> DataFrame:
+                    tile_rows: int = 1024, keys: bool = False) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of at least ``percent`` hundredths.
 
     Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased; a document of fewer than
     ``size`` words is one shingle of all its words. Returns one row per input row: doc_id, n_shingles,
-    component_id (the smallest doc_id reachable over links) and kept (doc_id = component_id).
+    component_id (the smallest doc_id reachable over links) and kept (doc_id = component_id). With ``keys`` also t,
+    a hash of the row's text, and component_t, that of the group's first text: of (doc_id, t) the smallest, null
+    doc_ids last. Rows with one doc_id and different texts, null ids above all, are told apart by these.
 
     Texts without words (null, empty, white space) have n_shingles 0 and are their own component. Rows with
     equal sets form one class before any comparison, so thousands of copies cost one comparison; repeated rows
@@ -237,11 +239,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     gives back links that span its groups.
     """
     work = Workspace(docs.sparkSession)
-    source = picked(docs, doc_id=doc_id, text=text)
+    source = picked(docs, doc_id=doc_id, text=text).withColumn("t", F.xxhash64("text"))
     rows = work.cut(source.mapInArrow(_signatures(size), SETS))
     classes = work.cut(rows.filter("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
-        F.first("signature").alias("signature")))
+        F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "t")).alias("first"), F.first("n_shingles").alias("n_shingles"),
+        F.first("signature").alias("signature")).withColumn("first_id", F.col("first.doc_id")))
     leaves = work.cut(candidate_nodes(work, classes, trees, small, depth, branches))
     wanted = leaves.select("node").distinct().join(classes.select("node", "first_id"), "node").select("first_id")
     texts = (source.join(wanted, same(F.col("doc_id"), F.col("first_id")), "left_semi").select("text")
@@ -259,10 +261,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         crowded_links(work, many, sets, percent, tile_rows)))
     groups = work.cut(components(work, links))
     labels = classes.join(groups, "node", "left").select(
-        "node", "first_id", F.coalesce("label", "node").alias("label"))
-    lowest = labels.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = labels.join(lowest, "label").select("node", "component_id")
-    return rows.join(named, "node", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "node", "first", F.coalesce("label", "node").alias("label"))
+    lowest = labels.groupBy("label").agg(F.min("first").alias("lowest"))
+    named = labels.join(lowest, "label").select("node", "lowest")
+    alone = F.col("n_shingles") == 0
+    found = rows.join(named, "node", "left").select(
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("lowest.doc_id")).alias("component_id"),
+        "t", F.when(alone, F.col("t")).otherwise(F.col("lowest.t")).alias("component_t"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    columns = ["doc_id", "n_shingles", "component_id", "kept"]
+    return found.select(*columns, *["t", "component_t"] * keys)
