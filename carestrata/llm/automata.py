@@ -4,8 +4,8 @@ The reference is the corpus itself, so it is not broadcast whole. Winnowed ancho
 groups in every window of the wanted length) tell which stretches of text can repeat at all; each such stretch
 is sent to the shard that owns its anchors. A shard reads its stretches in document order: the automaton of
 what came earlier yields matching statistics, spans at or above the length are removed, and only what is new
-is added to the automaton. Shards with very much text are first read in parts, and what is new in a part is
-then read once more by the whole shard.
+is added to the automaton. Shards with very much text are read in parts, each by its own automaton; windows that
+are new in several parts meet under a hash of their words, and the first of each stays.
 """
 
 from __future__ import annotations
@@ -195,6 +195,27 @@ def _read_shard(window: int):
     return run
 
 
+def _windows(window: int):
+    """Every window of the runs under a 128-bit hash of its words; a part has a window at most once."""
+    def run(batches):
+        for batch in batches:
+            binary = batch.column(4)
+            words = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in binary] or [np.zeros(0, np.uint64)])
+            ends = np.cumsum([len(b.as_buffer()) // 8 for b in binary], dtype=np.int64)
+            begins = np.r_[0, ends[:-1]] if len(ends) else ends
+            counts = np.maximum(ends - begins - window + 1, 0)
+            take = np.repeat(np.arange(batch.num_rows), counts)
+            place = np.arange(len(take)) - np.repeat(np.cumsum(counts) - counts, counts)
+            at, rows = begins[take] + place, pa.array(take)
+            keys = [hashing.signed(hashing.shingles(w, window)[at]) for w in (words, hashing.mix(words ^ np.uint64(hashing.BASE)))]
+            start = batch.column(2).to_numpy()[take] + place
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start.astype(np.int32)),
+                 batch.column(3).take(rows), pa.array(keys[0]), pa.array(keys[1])],
+                ["doc_id", "t", "start", "shard", "k1", "k2"])
+    return run
+
+
 def _cut(batches):
     for batch in batches:
         texts, whole, spans = batch.column("text"), batch.column("copied"), batch.column("spans")
@@ -234,7 +255,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     A document whose whole word sequence came earlier loses all its windows and takes no further part, so
     groups of copies cost one document. ``shard_words`` bounds the text an automaton is meant to hold; shards
-    beyond it are read in parts first.
+    beyond it are read in parts, and no task reads all parts of one.
     """
     work = Workspace(docs.sparkSession)
     source = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("text"),
@@ -280,9 +301,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         _stretches(window), "doc_id long, t long, shard int, part int, start int, words binary")
     local = work.cut(pieces.groupBy("shard", "part").applyInArrow(_read_shard(window), RUNS))
     crowded = parts.filter("parts > 1").select("shard")
-    across = (local.filter("fresh").join(crowded, "shard", "left_semi")
-              .groupBy("shard").applyInArrow(_read_shard(window), RUNS))
-    covered = local.filter("not fresh").union(across.filter("not fresh").select(local.columns))
+    windows = (local.filter("fresh").join(crowded, "shard", "left_semi").select("doc_id", "t", "start", "shard", "words")
+               .mapInArrow(_windows(window), "doc_id long, t long, start int, shard int, k1 long, k2 long"))
+    here, key = F.struct("doc_id", "t", "start"), ["shard", "k1", "k2"]
+    several = windows.groupBy(*key).agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    across = windows.join(several, key).filter(~same(here, F.col("first")))
+    covered = local.filter("not fresh").select("doc_id", "t", "start", "stop").union(
+        across.select("doc_id", "t", "start", F.col("start") + F.lit(window)))
     verdicts = work.cut(
         covered.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
         .select(F.col("doc_id").alias("d_id"), F.col("t").alias("d_t"), "spans", F.lit(False).alias("copied"))

@@ -110,6 +110,32 @@ def test_repeated_passages(docs, nothing):
     assert automata.remove_repeats(nothing).count() == 0
 
 
+def test_a_common_passage_is_no_single_task(spark, monkeypatch):
+    rows = [(i, " ".join(words(25, 1000 + i) + PASSAGE + words(25, 2000 + i))) for i in range(400)]
+    # neighbours of the passage that repeat in some documents: windows that are new in several parts
+    rows += [(400 + i, " ".join(words(25, 1000 + i) + PASSAGE + words(25, 3000 + i))) for i in range(60)]
+    seen, want, plain = set(), {}, automata._read_shard
+    for i, text in rows:
+        w, cover = text.split(), [False] * 80
+        for s in range(61):
+            if tuple(w[s:s + 20]) in seen:
+                cover[s:s + 20] = [True] * 20
+            seen.add(tuple(w[s:s + 20]))
+        want[i] = " ".join(x for x, c in zip(w, cover) if not c)
+
+    def bounded(window):
+        read = plain(window)
+
+        def run(group):
+            assert sum(len(b.as_py()) for b in group.column("words")) // 8 < 10_000
+            return read(group)
+        return run
+
+    monkeypatch.setattr(automata, "_read_shard", bounded)
+    found = automata.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard_words=2000).collect()
+    assert {r.doc_id: r.kept_text for r in found} == want
+
+
 def test_automaton_knows_what_it_has_read():
     random = np.random.default_rng(0)
     tool, seen = automata.Automaton(4), set()
