@@ -186,27 +186,30 @@ def _words(batches):
 
 
 def _marks(batches):
-    """Three MinHash values of each text's shingles: near copies have most of them in common."""
+    """Three MinHash values of each text's shingles, null without any: near copies have most of them in common."""
     for batch in batches:
         for row, data, offsets in hashing.pieces(batch.column(1)):
             starts, ends, first = hashing.words(data, offsets)
             grams = hashing.shingles(hashing.hash_spans(data, starts, ends), 3)
             texts = len(offsets) - 1
-            least = np.zeros((3, texts), np.int64)
+            least, none = np.zeros((3, texts), np.int64), first[1:] - first[:-1] < 3
             for i in range(texts):
                 own = grams[first[i]:max(first[i], first[i + 1] - 2)]
                 for k in range(3 if len(own) else 0):
                     least[k, i] = hashing.signed(hashing.mix(own ^ np.uint64(k * 7919)).min(keepdims=True))[0]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, texts), *map(pa.array, least)], ["doc_id", "m0", "m1", "m2"])
+                [batch.column(0).slice(row, texts), *(pa.array(m, mask=none) for m in least)], ["doc_id", "m0", "m1", "m2"])
 
 
 def without_copies(work: Workspace, sample: DataFrame) -> DataFrame:
-    """One document of each group of near copies with the same label: copied words are no evidence of their own."""
+    """One document of each group of near copies with the same label: copied words are no evidence of their own.
+
+    Texts of fewer than three words have no marks and all stay."""
     marks = sample.select("doc_id", "text").mapInArrow(_marks, "doc_id long, m0 long, m1 long, m2 long")
     marks = work.cut(marks.join(sample.select("doc_id", "toxic").distinct(), "doc_id"))
     alone = [F.min("doc_id").over(Window.partitionBy("toxic", m)) == F.col("doc_id") for m in ("m0", "m1", "m2")]
-    kept = marks.select("doc_id", *[a.alias(f"a{i}") for i, a in enumerate(alone)]).filter("a0 and a1 and a2")
+    kept = marks.select("doc_id", "m0", *[a.alias(f"a{i}") for i, a in enumerate(alone)]).filter(
+        "m0 is null or a0 and a1 and a2")
     return work.cut(sample.join(kept.select("doc_id").distinct(), "doc_id"))
 
 

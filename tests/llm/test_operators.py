@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from carestrata.llm import (
     automata, chosen_path, fuzzy_lines, merge_replay, scaled_sketch, string_kernel, text_density, tier_packing,
     token_spans, vptree)
+from carestrata.llm.tables import Workspace
 
 PATTERN = public_tokenizers.PATTERN
 MULTI, ENGLISH, WORDS = (public_tokenizers.path(n) for n in (
@@ -271,6 +272,14 @@ def test_toxicity(spark, docs, nothing):
         nothing, spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def test_short_texts_are_no_copies_of_each_other(spark):
+    long = " ".join(words(30, 9))
+    rows = [(1, 1, "nitwit"), (2, 1, "you blockhead"), (3, 1, ""), (4, 0, "hello"), (5, 0, long), (6, 0, long), (7, 1, long)]
+    left = string_kernel.without_copies(
+        Workspace(spark), spark.createDataFrame(rows, "doc_id long, toxic int, text string")).collect()
+    assert sorted(r.doc_id for r in left) == [1, 2, 3, 4, 5, 7]
+
+
 def test_main_text(spark):
     page = ("<html><head><title>t</title><script>var a='<p>';</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav>"
             "<article><h1>Head &amp; line</h1><p>First\n  part <b>bold</b><p>Second&nbsp;part<div class='comments'>no</div>"
