@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carestrata.llm import (
-    automata, chosen_path, fuzzy_lines, merge_replay, scaled_sketch, string_kernel, text_density, tier_packing,
-    token_spans, vptree)
+    automata, chosen_path, cuckoo, fuzzy_lines, merge_replay, merkle, scaled_sketch, source_stripes, string_kernel,
+    text_density, tier_packing, token_spans, twins, vptree)
 from carestrata.llm.tables import read_table
 
 
@@ -60,12 +60,31 @@ def op10_text_density_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_density.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_stripes.divergences(read_table(spark, sf_dir, "documents"))
+
+
+def op12_cuckoo_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    claimed = F.when(changed, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), claimed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_vantage_point_neighbours, op2_fuzzy_line_dedup, op3_automata_substring_dedup, op4_section_token_counts,
         op5_scaled_sketch_fingerprints, op6_merge_replay_bpe, op7_chosen_path_near_duplicates, op8_tier_packing,
-        op9_string_kernel_toxicity, op10_text_density_extraction)
+        op9_string_kernel_toxicity, op10_text_density_extraction, op11_source_divergence_stripes,
+        op12_cuckoo_exact_duplicates, op13_merkle_manifest)
 }
 
 #: DuckDB twins, where SQL can express a query on whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_source_divergence_stripes": twins.SOURCE_STRIPES,
+    "op12_cuckoo_exact_duplicates": twins.EXACT_DUPLICATES,
+    "op13_merkle_manifest": twins.MERKLE_MANIFEST,
+}
