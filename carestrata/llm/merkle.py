@@ -13,6 +13,8 @@ from carestrata.llm.tables import Workspace, picked
 
 #: Levels of a tree that one task works out over its leaves at once: blocks of at most 2 ** LEVELS_AT_ONCE nodes.
 LEVELS_AT_ONCE = 10
+#: Trees whose subroots (under 100 bytes each) are joined in place; beyond it they are joined by shuffle.
+TREES_IN_PLACE = 50_000
 TOP = -1
 
 _PAYLOAD = "doc_id", "leaf", "tampered"
@@ -261,5 +263,6 @@ def manifest(docs: DataFrame, tampered_n_chars: Column | None = None, levels: in
     top_height = (count - 1).bit_length()
     depth = max((largest - 1).bit_length() + top_height, top_height + 1)
     proven = _proven(work, _pointers(nodes.union(above), top_height), depth)
-    return proven.join(subroots, "tree").select("doc_id", "leaf", "tampered", "sides", "siblings", "subroot").mapInArrow(
+    # a language may hold most of the rows, so its leaves are not gathered for the sake of one subroot
+    return proven.join(F.broadcast(subroots) if count <= TREES_IN_PLACE else subroots, "tree").select("doc_id", "leaf", "tampered", "sides", "siblings", "subroot").mapInArrow(
         _fold(root), result)
