@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from carestrata.functions.bounds import in_days
 from carestrata.functions.scalars import as_date, days_between, mean_of, percent
 from carestrata.operators.common import counted, for_patient, named_patients, person_name, top_with
 
@@ -58,8 +59,7 @@ def frequent_visitors(encounters: DataFrame, patients: DataFrame, as_of, months:
                       k: int = 20) -> DataFrame:
     """Patients with the most encounters in the months up to ``as_of``."""
     end = as_date(as_of)
-    recent = encounters.filter((F.col("admission_date") >= F.add_months(end, -months))
-                               & (F.col("admission_date") < F.date_add(end, 1)))
+    recent = in_days(encounters, "admission_date", F.add_months(end, -months), F.date_add(end, 1))
     order = [F.desc("encounter_count"), F.asc("patient_id")]
     visits = recent.groupBy("patient_id").agg(
         F.count("*").alias("encounter_count"), F.max("admission_date").alias("last_admission"))

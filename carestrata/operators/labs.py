@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carestrata.functions.bounds import in_days, only_abnormal
 from carestrata.functions.labels import flag_label
 from carestrata.functions.predicates import abnormal, patient_search
 from carestrata.functions.scalars import as_date, exact_slope, percent
@@ -24,7 +25,7 @@ def _newest() -> list[Column]:
 
 def abnormal_labs(labs: DataFrame, patients: DataFrame, k: int = 200) -> DataFrame:
     """Latest abnormal results; the ``k`` rows are chosen before patients are joined."""
-    flagged = labs.filter(abnormal()).select("lab_id", "patient_id", "test_name", "collected_date",
+    flagged = only_abnormal(labs).select("lab_id", "patient_id", "test_name", "collected_date",
                                              *_MEASURE)
     return (top_with(flagged, _newest(), k, (named_patients(patients), "patient_id"))
             .select("patient_name", "test_name", "collected_date", *_MEASURE))
@@ -117,9 +118,8 @@ def recent_trend(labs: DataFrame, patients: DataFrame, test_name: str, as_of, mo
                  mrn: str | None = None) -> DataFrame:
     """Series of one test over the last months, of one patient by MRN or of everyone."""
     end = as_date(as_of)
-    window = labs.filter((F.col("test_name") == test_name)
-                         & (F.col("collected_date") >= F.add_months(end, -months))
-                         & (F.col("collected_date") < F.date_add(end, 1)))
+    window = in_days(labs.filter(F.col("test_name") == test_name), "collected_date",
+                     F.add_months(end, -months), F.date_add(end, 1))
     people = patients.select("patient_id", "mrn")
     if mrn is not None:
         people = people.filter(F.col("mrn") == mrn)
@@ -131,8 +131,7 @@ def recent_trend(labs: DataFrame, patients: DataFrame, test_name: str, as_of, mo
 def abnormal_this_month(labs: DataFrame, patients: DataFrame, as_of) -> DataFrame:
     """Patients with abnormal results in the calendar month of ``as_of``."""
     start = F.trunc(as_date(as_of), "month")
-    month = labs.filter(abnormal() & (F.col("collected_date") >= start)
-                        & (F.col("collected_date") < F.add_months(start, 1)))
+    month = in_days(only_abnormal(labs), "collected_date", start, F.add_months(start, 1))
     per_patient = month.groupBy("patient_id").agg(
         F.count("*").alias("abnormal_results"),
         F.count_if(F.col("abnormal_flag").isin("HH", "LL")).alias("critical_results"),

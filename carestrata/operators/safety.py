@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carestrata.functions.bounds import in_days
 from carestrata.functions.labels import is_serious, severity_rank
-from carestrata.functions.scalars import as_date, days_between, mean_of, month_index, percent, rounded_quotient
+from carestrata.functions.scalars import (
+    as_date, days_between, exact_slope, mean_of, month_index, percent, rounded_quotient)
 from carestrata.operators.common import for_patient, ids, named_patients, top_with
 from carestrata.operators.treatments import event_facts, treatment_facts
 
@@ -138,8 +140,8 @@ def recent_high_grade(adverse_events: DataFrame, patients: DataFrame, treatments
                       days: int = 90, grade: int = 3) -> DataFrame:
     """All events of the grade or above with onset in the days up to ``as_of``."""
     end = as_date(as_of)
-    chosen = adverse_events.filter((F.col("ctcae_grade") >= grade)
-                                   & F.col("onset_date").between(F.date_sub(end, days), end))
+    chosen = in_days(adverse_events.filter(F.col("ctcae_grade") >= grade), "onset_date",
+                     F.date_sub(end, days), F.date_add(end, 1))
     return (chosen.join(_names(treatments), "treatment_id")
             .join(named_patients(patients, "mrn"), "patient_id").select(*_DETAIL))
 
@@ -174,7 +176,8 @@ def event_rate_trend(treatments: DataFrame, adverse_events: DataFrame, as_of) ->
     """Is a treatment's monthly event rate rising? Slope of events per course under way, by name.
 
     Courses under way in a month are counted from starts and ends summed per month, so no course is
-    spread out over its months. The windows run over months: a few thousand rows at most per name.
+    spread out over its months. The windows run over months: a few thousand rows at most per name. Rates are
+    taken to twelve decimal places and summed as whole numbers, so the slope does not depend on the order of rows.
     """
     last = month_index(as_date(as_of))
     begin = month_index(F.col("start_date"))
@@ -202,9 +205,10 @@ def event_rate_trend(treatments: DataFrame, adverse_events: DataFrame, as_of) ->
                  - F.coalesce(F.sum("ends").over(so_far.rowsBetween(Window.unboundedPreceding, -1)),
                               F.lit(0)))
     rates = (monthly.withColumn("courses", under_way).filter(F.col("courses") > 0)
-             .withColumn("rate", F.col("events") / F.col("courses")))
+             .withColumn("rate", (F.col("events").cast("decimal(18,0)") / F.col("courses").cast("decimal(18,0)"))
+                         .cast("decimal(28,12)")))
     return (rates.groupBy("treatment_name")
             .agg(F.count("*").alias("months"), F.sum("events").alias("adverse_events"),
-                 F.round(F.regr_slope("rate", "month"), 6).alias("rate_slope"))
+                 F.round(exact_slope(F.col("rate"), F.col("month"), 12), 6).alias("rate_slope"))
             .withColumn("rising", F.col("rate_slope") > 0)
             .orderBy(F.desc_nulls_last("rate_slope"), "treatment_name"))

@@ -27,7 +27,9 @@ from carestrata.operators import (
 )
 from carestrata.plans.session import configure, shared_folder
 from carestrata.sources.retail_mapping import AS_OF, COLUMNS, LABS_AS_OF, clinical_views
-from carestrata.sources.tables import write_layout
+from carestrata.schema import TABLES
+from carestrata.sources.store import ClinicStore
+from carestrata.sources.tables import to_frame
 from carestrata.streaming.entry import recorded, start_entry
 from carestrata.streaming.surveillance import current, start_surveillance
 
@@ -346,18 +348,63 @@ def stream_ae_surveillance(spark: SparkSession, sf_dir: str) -> DataFrame:
         "severity", "event_count")
 
 
+#: References of the mapped tables that point to rows the mapping does not have; they are not enforced.
+UNCHECKED = {(L, "encounter_id")}
+
+
+def stored(spark: SparkSession, sf_dir: str, *names: str) -> ClinicStore:
+    """The mapped tables, written to a new store: every table in two appends, the second one submitted twice."""
+    folder, views = shared_folder(spark), clinical_views(spark, sf_dir)
+    store = ClinicStore(spark, f"{folder}/store")
+    for name in (n for n in TABLES if n in names):
+        table, path = TABLES[name], f"{folder}/mapped/{name}"
+        views[name].write.parquet(path)
+        rows = spark.read.parquet(path)
+        enforced = [c for c, (parent, _) in table.references.items() if parent in names and (name, c) not in UNCHECKED]
+        half = F.pmod(F.xxhash64(table.key), F.lit(2))
+        for part, append in ((0, "first"), (1, "second"), (1, "second")):
+            store.append(name, rows.filter(half == part), append, enforced)
+    return store
+
+
 def layout_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encounters written in their layout; one year read back through the partition column."""
-    folder = shared_folder(spark)
-    write_layout(clinical_views(spark, sf_dir)[E], folder, E)
-    return (spark.read.parquet(f"{folder}/{E}").filter(F.col("year") == 1998)
-            .select("encounter_id", "patient_id", "encounter_type", "admission_date"))
+    """All nine tables written in appends and read back whole: one row per record with all its mapped values as text."""
+    store, result = stored(spark, sf_dir, *TABLES), None
+    for name in TABLES:
+        frame = to_frame(store.load(name))
+        values = [F.unix_micros(c).cast("string") if frame.schema[c].dataType.typeName() == "timestamp"
+                  else F.col(c).cast("string") for c in COLUMNS[name]]
+        rows = frame.select(F.lit(name).alias("table_name"), F.col(TABLES[name].key).alias("record_id"),
+                            F.concat_ws("|", *[F.coalesce(v, F.lit("-")) for v in values]).alias("record"))
+        result = rows if result is None else result.union(rows)
+    return result
+
+
+def over_store(query: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A named query over stored tables, whose months and slices bound what it reads."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = stored(spark, sf_dir, *names)
+        df = CATALOG[query]({name: store.table(name) for name in names})
+        return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp"
+                           else F.col(f.name) for f in df.schema.fields])
+    return run
+
+
+#: Queries by date or abnormal flag, and the tables they read.
+STORED = {
+    "hba1c_trend": (P, L),
+    "abnormal_labs_this_month": (P, L),
+    "abnormal_labs": (P, L),
+    "recent_high_grade": (P, PR, E, T, A),
+    "frequent_visitors": (P, PR, E),
+}
 
 
 WRITERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_lab_entry": stream_lab_entry,
     "stream_ae_surveillance": stream_ae_surveillance,
     "layout_roundtrip": layout_roundtrip,
+    **{f"stored_{query}": over_store(query, *names) for query, names in STORED.items()},
 }
 
 

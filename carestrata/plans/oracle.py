@@ -9,9 +9,10 @@ from __future__ import annotations
 import re
 
 from carestrata.operators.profile import TABS
-from carestrata.plans.catalog import SUBMISSIONS
-from carestrata.schema import AGE_BANDS, COHORT_AGE_BANDS
+from carestrata.plans.catalog import STORED, SUBMISSIONS
+from carestrata.schema import AGE_BANDS, COHORT_AGE_BANDS, TABLES
 from carestrata.sources.retail_mapping import AS_OF, COLUMNS, LABS_AS_OF
+from carestrata.sources.tables import ID_COLUMNS
 
 _FROM = {
     "patients": "customer",
@@ -760,6 +761,11 @@ def _labs(low: str, tail: str = "") -> str:
 _INGEST["ingest_labs"] = _labs("reference_low", "from c")
 _INGEST["ingest_labs_zero_as_missing"] = _labs("nullif(reference_low, 0)", "from c")
 
+def _as_text(column: str, kind) -> str:
+    text = f"epoch_us({column})" if kind.typeName() == "timestamp" else column
+    return f"coalesce(cast({text} as varchar), '-')"
+
+
 _STREAMS = {
     "stream_lab_entry": _labs("reference_low", "from c"),
     "stream_ae_surveillance": """with w as (select severity, cast(floor(date_diff('day', date '1970-01-01', onset_date) / 7.0) as int)
@@ -767,10 +773,23 @@ _STREAMS = {
       select cast(date '1970-01-01' + k * 7 as date) as window_start,
       cast(date '1970-01-01' + k * 7 + 7 as date) as window_end, severity, count(*) as event_count
       from w group by k, severity""",
-    "layout_roundtrip": """select encounter_id, patient_id, encounter_type, admission_date
-      from encounters where extract(year from admission_date) = 1998""",
+    "layout_roundtrip": " union all ".join(
+        f"""select '{name}' as table_name, cast({table.key} as varchar) as record_id,
+          concat_ws('|', {', '.join(_as_text(c, table.columns[c]) for c in COLUMNS[name])}) as record from {name}"""
+        for name, table in TABLES.items()),
 }
 
+
+def _with_text_ids(sql: str) -> str:
+    """A query over the tables with their ids as text, as the store keeps them."""
+    used = [n for n in COLUMNS if re.search(rf"\b{n}\b", sql)]
+    views = ", ".join(
+        f"text_{n} as (select * replace ("
+        + ", ".join(f"cast({c} as varchar) as {c}" for c in COLUMNS[n] if c in ID_COLUMNS) + f") from {n})" for n in used)
+    body = re.sub(rf"\b({'|'.join(used)})\b", r"text_\1", sql.strip())
+    return f"with {views}, {body[5:]}" if body.startswith("with ") else f"with {views} {body}"
+
+
 _TABLES = {f"table_{n}": f"select * from {n}" for n in COLUMNS}
 
 
@@ -778,4 +797,5 @@ def oracle_queries() -> dict[str, str]:
     """patient_profiles itself holds nested arrays; its sizes and every field of its tabs are checked instead."""
     everything = {**_DASHBOARD, **_OVERVIEW, **_PATIENT, **_TREATMENT, **_SAFETY, **_LABS, **_PICKERS,
                   **_GRAPH, **_QUESTIONS, **_INGEST, **_STREAMS, **_TABLES}
+    everything |= {f"stored_{name}": _with_text_ids(everything[name]) for name in STORED}
     return {name: _twin(sql) for name, sql in everything.items()}

@@ -99,8 +99,12 @@ def literal_rows(spark: SparkSession, name: str, rows: Iterable[dict]) -> DataFr
     return spark.createDataFrame(data, table.schema)
 
 
+#: Columns that hold ids: keys and references of all tables.
+ID_COLUMNS = frozenset(c for t in TABLES.values() for c in (t.key, *t.references))
+
+
 def to_frame(df: DataFrame) -> DataFrame:
     """Ids as text, everything else as it is: the shape that goes to a tabular client."""
     return df.select(*[
-        F.col(c).cast("string").alias(c) if c.endswith("_id") else F.col(c) for c in df.columns
+        F.col(c).cast("string").alias(c) if c in ID_COLUMNS or c.endswith("_id") else F.col(c) for c in df.columns
     ])
