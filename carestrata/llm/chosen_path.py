@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carestrata.llm import hashing
-from carestrata.llm.tables import Workspace, components, picked, same
+from carestrata.llm.tables import Workspace, components, joined, picked, same
 
 COORDINATES = 64
 COLUMNS_AT_ONCE = 2048
+#: Standard deviations that the agreement of two signatures may fall short of the similarity asked for: a pair at
+#: the similarity itself is lost with a probability below 1e-8.
+SLACK = 6.0
 _factors = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 
 SETS = "doc_id long, t long, n_shingles long, node struct<k1:long,k2:long>, signature array<int>"
@@ -111,11 +114,12 @@ def candidate_nodes(work: Workspace, classes: DataFrame, trees: int, small: int,
     """Leaves of all trees with two members or more: (path, node, n, size), n the set's own size."""
     members = (classes.select("node", "n_shingles", "signature", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
                .select(_branch(F.col("tree"), "signature", [F.lit(0)]).alias("path"), "node", "n_shingles", "signature"))
-    leaves, level = [], 1
+    leaves, written, level = [], [], 1
     while True:
         slim = members.select("path", "node", "n_shingles")
         sized = slim.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         shared = work.cut(slim.join(sized, "path"))
+        written.append(shared)
         last = level == depth
         leaves.append(shared if last else shared.filter(F.col("size") <= small))
         if last or not shared.filter(F.col("size") > small).take(1):
@@ -130,6 +134,8 @@ def candidate_nodes(work: Workspace, classes: DataFrame, trees: int, small: int,
     whole = leaves[0]
     for more in leaves[1:]:
         whole = whole.union(more)
+    whole = work.cut(whole)
+    work.drop(*written)
     return whole
 
 
@@ -175,38 +181,83 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _tile(percent: int):
+def least_agreement(percent: int) -> int:
+    """Coordinates in which the signatures of two sets of that similarity agree at least."""
+    share = percent / 100
+    return max(1, int(COORDINATES * share - SLACK * (COORDINATES * share * (1 - share)) ** 0.5))
+
+
+def _agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many coordinates each left signature agrees with each right one."""
+    both = np.zeros((len(left), len(right)), np.uint8)
+    for c in range(COORDINATES):
+        both += left[:, c, None] == right[None, :, c]
+    return both
+
+
+def _alike(percent: int):
+    """Whether pairs of signatures are as near as those of sets of the similarity are."""
+    least = least_agreement(percent)
+
+    def near(data: pa.Array, a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
+        marks = data.flatten().to_numpy().reshape(len(data), COORDINATES)
+        return _agreeing(marks[a], marks[a if b is None else b]) >= least
+
+    return near
+
+
+def _linked(percent: int):
+    """Whether pairs of whole sets reach the similarity."""
+    def near(data: pa.Array, a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in data]
+        return linked([sets[i] for i in a], None if b is None else [sets[i] for i in b], percent)
+
+    return near
+
+
+def _tile(near):
+    """Links that span the groups of a tile: of one chunk, or across two."""
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        members, chunk = group.column("members"), group.column("chunk").to_numpy()
-        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in members]
-        a = np.flatnonzero(chunk == group.column("i")[0].as_py())
-        b = np.flatnonzero(chunk != group.column("i")[0].as_py())
+        data, chunk = group.column("data").combine_chunks(), group.column("chunk").to_numpy()
+        own = chunk == group.column("i")[0].as_py()
+        a, b = np.flatnonzero(own), np.flatnonzero(~own)
         if len(b):
-            order = np.r_[a, b]
-            cross = linked([sets[i] for i in a], [sets[i] for i in b], percent)
-            near = np.zeros((len(order), len(order)), bool)
-            near[:len(a), len(a):] = cross
-            near[len(a):, :len(a)] = cross.T
+            order, cross = np.r_[a, b], near(data, a, b)
+            whole = np.zeros((len(order), len(order)), bool)
+            whole[:len(a), len(a):] = cross
+            whole[len(a):, :len(a)] = cross.T
         else:
-            order, near = a, linked([sets[i] for i in a], None, percent)
-        edges = spanning(near)
+            order, whole = a, near(data, a, None)
+        edges = spanning(whole)
         node = group.column("node")
         return pa.table([node.take(pa.array([int(order[e[k]]) for e in edges], pa.int64())) for k in (0, 1)], names=["a", "b"])
     return run
 
 
-def crowded_links(work: Workspace, leaves: DataFrame, sets: DataFrame, percent: int, tile_rows: int) -> DataFrame:
-    """Spanning links of the large leaves: what shares a large leaf in any tree is one crowd, compared in square tiles."""
-    hubs = leaves.groupBy("path").agg(F.min("node").alias("hub"))
-    crowds = work.cut(components(work, leaves.join(hubs, "path").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+def tiled_links(crowds: DataFrame, data: DataFrame, near, tile_rows: int) -> DataFrame:
+    """Links that span the groups of each crowd (node, label), by square tiles of ``tile_rows`` nodes a side over the
+    ``data`` (node, data) of its nodes."""
     sizes = crowds.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("chunks"))
     placed = crowds.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiles = placed.select(
         "node", "label", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
         "node", "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return tiles.join(sets, "node").groupBy("label", "i", "j").applyInArrow(
-        _tile(percent), "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>")
+    return tiles.join(data, "node").groupBy("label", "i", "j").applyInArrow(
+        _tile(near), "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>")
+
+
+def plausible_crowds(work: Workspace, leaves: DataFrame, classes: DataFrame, percent: int, tile_rows: int) -> DataFrame:
+    """Groups (node, label) within the large leaves whose signatures are near enough: what shares a large leaf in any
+    tree is one crowd, compared in tiles by the 256 bytes of its signatures."""
+    hubs = leaves.groupBy("path").agg(F.min("node").alias("hub"))
+    edges = work.cut(leaves.join(hubs, "path").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    sharing = work.cut(components(work, edges))
+    marks = classes.select("node", F.col("signature").alias("data"))
+    links = work.cut(tiled_links(sharing, marks, _alike(percent), tile_rows))
+    near = work.cut(components(work, links))
+    work.drop(edges, sharing, links)
+    return near
 
 
 def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -216,6 +267,14 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
 
+def _near_signatures(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures agree as those of sets of the similarity do."""
+    left = classes.select(F.col("node").alias("a"), F.col("signature").alias("left"))
+    right = classes.select(F.col("node").alias("b"), F.col("signature").alias("right"))
+    agreeing = F.size(F.filter(F.zip_with("left", "right", lambda x, y: x == y), lambda same: same))
+    return pairs.join(left, "a").join(right, "b").filter(agreeing >= least_agreement(percent)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, size: int = 5,
                     percent: int = 80, trees: int = 10, small: int = 12, depth: int = 4, branches: int = 2,
                     tile_rows: int = 1024, keys: bool = False) -> DataFrame:
@@ -234,9 +293,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     A pair at similarity s shares a tree's first branch with probability s and each later one with
     1-(1-s)^branches. At s = 0.85 ten trees miss it with a probability below 1e-6 at depth 1 and 1e-5 at
-    depth 4. No group is listed in pairs: what still shares a leaf of more than ``small`` sets is compared in
-    square tiles of ``tile_rows`` sets a side, each a matrix product over shared shingles in its own task, which
-    gives back links that span its groups.
+    depth 4. Candidates whose signatures agree too little for that similarity go before whole sets are read (see
+    SLACK). No group is listed in pairs: what still shares a leaf of more than ``small`` sets is compared in square
+    tiles of ``tile_rows`` signatures a side, and the groups found near that way once more in tiles of their whole
+    sets, each a matrix product over shared shingles in its own task, which gives back links that span its groups.
     """
     work = Workspace(docs.sparkSession)
     source = picked(docs, doc_id=doc_id, text=text).withColumn("t", F.xxhash64("text"))
@@ -244,22 +304,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = work.cut(rows.filter("n_shingles > 0").groupBy("node").agg(
         F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "t")).alias("first"), F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature")).withColumn("first_id", F.col("first.doc_id")))
-    leaves = work.cut(candidate_nodes(work, classes, trees, small, depth, branches))
-    wanted = leaves.select("node").distinct().join(classes.select("node", "first_id"), "node").select("first_id")
-    texts = (source.join(wanted, same(F.col("doc_id"), F.col("first_id")), "left_semi").select("text")
+    leaves = candidate_nodes(work, classes, trees, small, depth, branches)
+    few, many = leaves.filter(F.col("size") <= small), leaves.filter(F.col("size") > small)
+    pairs = work.cut(_near_signatures(_plausible(_exhaustive(few), percent), classes, percent))
+    crowds = plausible_crowds(work, many, classes, percent, tile_rows)
+    work.drop(leaves)
+    # whole sets only of those that a signature puts near another
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct()
+    wanted = work.cut(nodes.join(classes.select("node", "first_id"), "node").select("first_id").distinct())
+    texts = (joined(source, wanted, same(F.col("doc_id"), F.col("first_id")), "left_semi").select("text")
              .mapInArrow(_whole_sets(size), "node struct<k1:long,k2:long>, members binary"))
     sets = work.cut(texts.groupBy("node").agg(F.first("members").alias("members")))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
-        right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
-        return (pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-                .mapInArrow(_confirm(percent), "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>"))
-
-    few, many = leaves.filter(F.col("size") <= small), leaves.filter(F.col("size") > small)
-    links = work.cut(confirmed(_plausible(_exhaustive(few), percent)).union(
-        crowded_links(work, many, sets, percent, tile_rows)))
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
+    confirmed = (pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+                 .mapInArrow(_confirm(percent), "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>"))
+    tiled = tiled_links(crowds, sets.withColumnRenamed("members", "data"), _linked(percent), tile_rows)
+    links = work.cut(confirmed.union(tiled))
+    work.drop(pairs, crowds, wanted, sets)
     groups = work.cut(components(work, links))
+    work.drop(links)
     labels = classes.join(groups, "node", "left").select(
         "node", "first", F.coalesce("label", "node").alias("label"))
     lowest = labels.groupBy("label").agg(F.min("first").alias("lowest"))

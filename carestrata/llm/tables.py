@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carestrata.plans.session import shared_folder
+from carestrata.sources.files import SharedFiles
+
+#: Text that goes to a Python worker at once; a batch of 10,000 very long documents would not fit.
+BATCH_BYTES = 8 << 20
 
 
 class Workspace:
-    """A folder of written tables for one operator call; a written table survives lost executors."""
+    """A folder of written tables for one operator call; a written table survives lost executors.
+
+    Tables that nothing refers to any more are removed by :meth:`drop`; what a result is read from stays under
+    ``spark.checkpoint.dir`` for whoever cleans that folder.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = shared_folder(spark)
         self.count = 0
+        self.paths: list[tuple[DataFrame, str]] = []
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def cut(self, frame: DataFrame) -> DataFrame:
         """Write the frame and read it again, which ends its lineage."""
         self.count += 1
         path = f"{self.folder}/{self.count}"
         frame.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        written = self.spark.read.schema(frame.schema).parquet(path)
+        self.paths.append((written, path))
+        return written
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove written tables that no later step reads, and let Spark remove the shuffles behind them."""
+        files = SharedFiles(self.spark)
+        for frame, path in [(f, p) for f, p in self.paths if any(f is x for x in frames)]:
+            files.remove(path)
+        self.paths = [(f, p) for f, p in self.paths if not any(f is x for x in frames)]
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +82,8 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
         small = large.join(least, F.col("a") == F.col("k")).select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
             F.col("m").alias("b")).distinct()
-        current = work.cut(small)
+        before, current = current, work.cut(small)
+        work.drop(before)
         stamp = _stamp(current)
         if stamp == seen:
             break
