@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from carestrata.llm.memory import only
+
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTES_AT_ONCE = 4 << 20
@@ -18,8 +20,6 @@ _lower = _bytes.copy()
 _lower[65:91] = _bytes[97:123]
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,14 +33,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, BYTES_AT_ONCE + 1)
-        for name, factor in (("_powers", BASE), ("_inverses", INVERSE)):
-            steps = np.full(size, factor, np.uint64)
+    """At least n powers of the base and of its inverse."""
+    kept = only("powers", dict)
+    if len(kept.get(BASE, ())) < n:
+        for factor in (BASE, INVERSE):
+            steps = np.full(max(n, BYTES_AT_ONCE + 1), factor, np.uint64)
             steps[0] = 1
-            globals()[name] = np.multiply.accumulate(steps)
-    return _powers, _inverses
+            kept[factor] = np.multiply.accumulate(steps)
+    return kept[BASE], kept[INVERSE]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

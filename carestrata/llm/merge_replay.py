@@ -17,10 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from carestrata.llm.memory import only
 from carestrata.llm.tables import picked
 
-#: Distinct stretches of text a worker remembers; beyond it the memory is emptied, results stay the same.
-REMEMBERED = 400_000
+#: Characters of stretches and bytes of pieces a worker remembers; beyond it the memory is emptied, results stay the same.
+REMEMBERED = 6_000_000
+#: Longer stretches and pieces are not remembered.
+LONGEST_REMEMBERED = 100
 
 # A stretch is white space and what follows up to the next white space. No match of the piece pattern runs from
 # a non-space into ASCII white space, so stretches can be split into pieces one by one.
@@ -173,35 +176,54 @@ class Encoder:
         import regex
         self.replay = MergeReplay(read_ranks(path))
         self.pattern = regex.compile(pattern)
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, tuple] = {}
+        self.pieces: dict[bytes, list[int]] = {}
+        self.held = 0
+
+    def _ids(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of distinct pieces; only those not met before are replayed."""
+        fresh = [p for p in pieces if p not in self.pieces]
+        made = dict(zip(fresh, self.replay.encode(fresh)))
+        short = {p: ids for p, ids in made.items() if len(p) <= LONGEST_REMEMBERED}
+        self.pieces.update(short)
+        self.held += sum(map(len, short))
+        return made
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         parts = [[text] if _odd_space.search(text) else _stretch.findall(text) for text in texts]
+        if self.held > REMEMBERED:
+            self._forget()
         known = self.known
         new = list({s for part in parts for s in part if s not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({s for part in parts for s in part})
         split = [[p.encode() for p in self.pattern.findall(s)] for s in new]
-        vocabulary = list(dict.fromkeys(chain.from_iterable(split)))
-        ids = dict(zip(vocabulary, self.replay.encode(vocabulary)))
-        for stretch, pieces in zip(new, split):
-            known[stretch] = tuple(ids[pieces[0]]) if len(pieces) == 1 else tuple(
-                chain.from_iterable(ids[p] for p in pieces))
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, part)), np.uint32) for part in parts]
+        made = self._ids(list(dict.fromkeys(chain.from_iterable(split))))
+        pieces, once = self.pieces, {}
+
+        def ids(piece: bytes) -> list[int]:
+            found = pieces.get(piece)
+            return made[piece] if found is None else found
+
+        for stretch, own in zip(new, split):
+            coded = tuple(ids(own[0])) if len(own) == 1 else tuple(chain.from_iterable(map(ids, own)))
+            if len(stretch) <= LONGEST_REMEMBERED:
+                known[stretch] = coded
+                self.held += len(stretch)
+            else:
+                once[stretch] = coded
+        if not once:
+            return [np.fromiter(chain.from_iterable(map(known.__getitem__, part)), np.uint32) for part in parts]
+        return [np.fromiter(chain.from_iterable(once[s] if s in once else known[s] for s in part), np.uint32) for part in parts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.replay.tokens.__getitem__, ids.tolist()))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+    return only(("merge replay", path, pattern), lambda: Encoder(path, pattern))
 
 
 def batches_of(texts: list[str], limit: int = 4 << 20):
@@ -243,7 +265,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
 
     A null text is an empty one, without tokens. Repeated rows stay, ids and order do not matter, other columns
     are ignored, an empty table gives an empty result. There is no shuffle; a lost task is simply run again.
-    Memory: about 4 million characters of text, their distinct pieces and REMEMBERED stretches per worker.
+    Memory: about 4 million characters of text, their distinct pieces, and stretches and pieces of REMEMBERED
+    characters per worker.
     """
     return picked(docs, doc_id=doc_id, text=text).mapInArrow(
         _rows(path, pattern, True), "doc_id long, n_tokens long, ids array<int>, decoded binary")

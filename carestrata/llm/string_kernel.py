@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carestrata.llm import hashing
+from carestrata.llm.memory import only
 from carestrata.llm.merge_replay import batches_of
 from carestrata.llm.tables import Workspace, joined
 
@@ -24,7 +25,10 @@ ALPHABET = 64
 SPAN = 6
 DECAY = 0.7
 LONGEST = 24
-REMEMBERED = 400_000
+#: Characters of words that a worker remembers with their margins.
+REMEMBERED = 4_000_000
+#: Characters of text taken apart at once.
+TEXT_AT_ONCE = 1 << 20
 
 _patterns = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _weights = np.array([DECAY ** (b + 1 - 3) for _, b in _patterns])
@@ -133,6 +137,7 @@ class Scorer:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
         self.known: dict[str, float] = {}
+        self.held = 0
 
     def learn(self, words: list[str]) -> None:
         bias = float(self.weights[-1])
@@ -154,29 +159,22 @@ class Scorer:
         parts = [tokens(t) for t in texts]
         words = set().union(*parts)
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
+        if self.held > REMEMBERED:
+            self.known, self.held, new = {}, 0, list(words)
+        self.held += sum(map(len, new))
         self.learn(sorted(new, key=len))
         known = self.known
         return [max(((known[w], w) for w in part), default=(-np.inf, "")) for part in parts]
 
 
-_scorers: dict[bytes, Scorer] = {}
-
-
 def _scorer(weights: bytes) -> Scorer:
-    key = weights[-64:] + weights[:64] + str(hash(weights)).encode()
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(np.frombuffer(weights, np.float32))
-    return _scorers[key]
+    return only(("string kernel", weights), lambda: Scorer(np.frombuffer(weights, np.float32)))
 
 
 def _words(batches):
     for batch in batches:
         texts, labels = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
-        for first, some in batches_of(texts):
+        for first, some in batches_of(texts, TEXT_AT_ONCE):
             words, marks = [], []
             for label, text in zip(labels[first:], some):
                 own = {letters(w) for w in tokens(text)}
@@ -218,7 +216,7 @@ def _worst(weights: bytes):
         scorer = _scorer(weights)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, some in batches_of(texts):
+            for first, some in batches_of(texts, TEXT_AT_ONCE):
                 found = scorer.texts(some)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(some)), pa.array([max(m, -9.0) for m, _ in found], pa.float64()),
@@ -296,12 +294,14 @@ def fit(work: Workspace, docs: DataFrame, labels: DataFrame, sample_rows: int, r
     return Model(weights, slope, offset)
 
 
-def _score(model: Model, threshold: float):
+def _score(model: Model, threshold: float, carried: str | None):
+    """Scores of a batch; the text is a column of its own, or the ``carried`` field of the row."""
     def run(batches):
         scorer = _scorer(model.weights)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for first, some in batches_of(texts):
+            column = batch.column("row").field(carried) if carried else batch.column("text")
+            texts = [t or "" for t in column.to_pylist()]
+            for first, some in batches_of(texts, TEXT_AT_ONCE):
                 found = scorer.texts(some)
                 margin = np.array([max(m, -9.0) for m, _ in found])
                 score = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -30, 30)))
@@ -335,5 +335,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
         return source.select(F.col("doc_id").cast("long"), "held_out", F.lit(0.0).alias("score"),
                              F.lit(0).alias("predicted"), F.lit("").alias("worst_word"), "row")
     row_type = source.schema["row"].dataType.simpleString()
-    return source.select("doc_id", "held_out", "text", "row").mapInArrow(
-        _score(model, threshold), f"doc_id long, held_out boolean, score double, predicted int, worst_word string, row {row_type}")
+    carried = text if carry and text in carry else None
+    return source.select("doc_id", "held_out", "row", *[] if carried else ["text"]).mapInArrow(
+        _score(model, threshold, carried), f"doc_id long, held_out boolean, score double, predicted int, worst_word string, row {row_type}")

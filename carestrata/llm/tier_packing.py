@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from carestrata.llm.memory import only
 from carestrata.llm.merge_replay import batches_of
 from carestrata.llm.tables import picked
 
@@ -187,13 +188,8 @@ class Packer:
             yield from self._fill(size, len(self.items) - 1)
 
 
-_coders: dict[str, WordCoder] = {}
-
-
 def coder(path: str) -> WordCoder:
-    if path not in _coders:
-        _coders[path] = WordCoder(path)
-    return _coders[path]
+    return only(("word coder", path), lambda: WordCoder(path))
 
 
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_size", "step_group"]

@@ -236,3 +236,11 @@ def test_manifest_of_one_language(spark, n):
         assert {r.root for r in got} == {climb([leaf(r) for r in rows])[0]}
     lone = merkle.manifest(table(spark, [(1, "t", g, "a", 1) for g in ("x", "y", "z")][:n])).collect()
     assert len({r.root for r in lone}) <= 1 and all(r.verified for r in lone)
+
+
+def test_a_worker_keeps_one_thing_at_a_time():
+    from carestrata.llm import memory
+    made = []
+    for key in ("a", "a", "b", "a"):
+        assert memory.only(key, lambda: made.append(key) or [key]) == [key]
+    assert made == ["a", "b", "a"] and list(memory._kept) == ["a"]
