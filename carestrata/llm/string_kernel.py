@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carestrata.llm import hashing
@@ -200,15 +200,16 @@ def _marks(batches):
 
 
 def without_copies(work: Workspace, sample: DataFrame) -> DataFrame:
-    """One document of each group of near copies with the same label: copied words are no evidence of their own.
+    """One document, that of smallest doc_id, of those with the same label and the same three marks: copied words are
+    no evidence of their own.
 
-    Texts of fewer than three words have no marks and all stay."""
+    One equal mark is common among unlike texts; three are not. Texts of fewer than three words have no marks and all
+    stay."""
     marks = sample.select("doc_id", "text").mapInArrow(_marks, "doc_id long, m0 long, m1 long, m2 long")
     marks = work.cut(marks.join(sample.select("doc_id", "toxic").distinct(), "doc_id"))
-    alone = [F.min("doc_id").over(Window.partitionBy("toxic", m)) == F.col("doc_id") for m in ("m0", "m1", "m2")]
-    kept = marks.select("doc_id", "m0", *[a.alias(f"a{i}") for i, a in enumerate(alone)]).filter(
-        "m0 is null or a0 and a1 and a2")
-    return work.cut(sample.join(kept.select("doc_id").distinct(), "doc_id"))
+    first = marks.filter("m0 is not null").groupBy("toxic", "m0", "m1", "m2").agg(F.min("doc_id").alias("doc_id"))
+    kept = first.select("doc_id").union(marks.filter("m0 is null").select("doc_id")).distinct()
+    return work.cut(sample.join(kept, "doc_id"))
 
 
 def _worst(weights: bytes):
