@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 # Groups above SLICE_ROWS rows are hot and cut into steps. The order of rows is the same either way.
 SLICE_ROWS = 10_000
+#: Pieces that one crowded step is cut into at most, and sampled values per piece.
+PIECES, SAMPLED = 64, 32
 
 
 def id_digest(key: str) -> Column:
@@ -67,26 +69,54 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], step: C
     return placed.drop("_step", "_row", "_before", "_size", "_hot_size")
 
 
+def splitters(df: DataFrame, cell: Sequence[str], order: Sequence[str], slice_rows: int) -> DataFrame:
+    """Where cells of more than ``slice_rows`` rows are to be cut: the cell's keys and ``_bounds``, ascending.
+
+    The bounds are quantiles of a sample of the order's values, chosen by their hash, so every run has the same ones.
+    A cell gets at most PIECES pieces and about PIECES * SAMPLED sampled values, however large it is.
+    """
+    pieces = F.least(F.ceil(F.col("_n") / slice_rows), F.lit(PIECES)).cast("int")
+    sizes = (df.groupBy(*cell).agg(F.count("*").alias("_n")).filter(F.col("_n") > slice_rows)
+             .withColumn("_pieces", pieces))
+    sampled = df.join(sizes, list(cell)).filter(
+        F.pmod(F.xxhash64(*order), F.col("_n")) < F.col("_pieces") * SAMPLED)
+    marks = sampled.groupBy(*cell).agg(
+        F.first("_pieces").alias("_pieces"), F.sort_array(F.collect_set(F.struct(*order))).alias("_marks"))
+    at = F.transform(F.sequence(F.lit(1), F.col("_pieces") - 1), lambda i: F.element_at(
+        "_marks", (F.floor(i * F.size("_marks") / F.col("_pieces")) + 1).cast("int")))
+    return marks.select(*cell, at.alias("_bounds"))
+
+
 def previous(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, step: Column,
              name: str = "previous_value", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Value of the row before in the group (a lag).
 
-    ``step`` must not decrease along ``order``. Only the first row of a hot group's step looks
-    outside it: it takes the last row of the nearest earlier step.
+    ``step`` must not decrease along ``order``. A step that is still too large, down to a single point of time, is cut
+    into pieces at sampled values of ``order``. Only the first row of a hot group's piece looks outside it: it takes
+    the last row of the nearest earlier piece.
     """
-    cell = [*group, "_step"]
+    place = [*group, "_step"]
+    cell = [*place, "_piece"]
     hot = hot_groups(df, group, slice_rows)
+    stepped = _in_steps(df, hot, group, step, "inner")
+    bounds = splitters(stepped, place, order, slice_rows)
+    at = F.struct(*order)
+    piece = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= at)), F.lit(0))
+
+    def in_pieces(rows: DataFrame) -> DataFrame:
+        return rows.join(bounds, place, "left").withColumn("_piece", piece).drop("_bounds")
+
     inside = Window.partitionBy(*cell).orderBy(*order)
-    rows = (_in_steps(df, hot, group, step, "left")
+    rows = (in_pieces(_in_steps(df, hot, group, step, "left"))
             .withColumn("_row", F.row_number().over(inside))
             .withColumn("_lag", F.lag(value).over(inside)))
-    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))
-    carried = (_in_steps(df, hot, group, step, "inner").groupBy(*cell).agg(last.alias("_last"))
+    last = F.max_by(F.struct(F.col(value).alias("v")), at)
+    carried = (in_pieces(stepped).groupBy(*cell).agg(last.alias("_last"))
                .select(*cell, F.lag("_last").over(
-                   Window.partitionBy(*group).orderBy("_step")).alias("_carry")))
+                   Window.partitionBy(*group).orderBy("_step", "_piece")).alias("_carry")))
     return (rows.join(carried, cell, "left")
             .withColumn(name, F.when(F.col("_row") == 1, F.col("_carry.v")).otherwise(F.col("_lag")))
-            .drop("_row", "_lag", "_carry", "_step"))
+            .drop("_row", "_lag", "_carry", "_step", "_piece"))
 
 
 def report_rank(report: DataFrame, value: str, rank: str = "rank") -> DataFrame:

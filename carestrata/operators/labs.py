@@ -79,7 +79,7 @@ def lab_history(labs: DataFrame, patient_id=None) -> DataFrame:
 def lab_trends(labs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Every point of every patient × test series with the change since the point before.
 
-    A very long series is worked through by clock hour.
+    A very long series is worked through by clock hour, and a crowded hour in pieces of (time, id).
     """
     points = labs.select("patient_id", "test_name", "lab_id", "collected_date", *_MEASURE)
     hour = F.floor(F.unix_seconds(F.col("collected_date").cast("timestamp")) / 3600)

@@ -108,6 +108,34 @@ def test_previous(walk, slice_rows):
     assert {r.id: r.p for r in got.collect()} == expected
 
 
+def test_one_point_of_time_is_cut_into_pieces(spark):
+    """A series of one timestamp, with repeated rows, and one of another group; the lags are those of a plain window."""
+    at = dt.datetime(2024, 1, 1, 12)
+    rows = [("hot", at, i, i % 7) for i in range(600)] + [("hot", at, 5, 5)] * 3 + [("g", at, i, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, at timestamp_ntz, id int, v int").repartition(4)
+    stepped = df.withColumn("_step", _hours(F.col("at")))
+    bounds = series.splitters(stepped, ["g", "_step"], ["at", "id"], 50).collect()
+    assert [r.g for r in bounds] == ["hot"]
+    cuts = [b.id for b in bounds[0]._bounds]
+    assert cuts == sorted(cuts) and len(cuts) == 12  # 13 pieces of 603 rows
+    sizes = [sum(lo <= r[2] < hi for r in rows[:603]) for lo, hi in zip([0, *cuts], [*cuts, 600])]
+    assert sum(sizes) == 603 and max(sizes) <= 100
+    expected = [(r[0], r[2], p) for rs in _by_group(rows).values() for r, p in zip(rs, [None] + [x[3] for x in rs])]
+    for slice_rows in (50, 10_000):
+        got = series.previous(df, ["g"], ["at", "id"], "v", _hours(F.col("at")), "p", slice_rows)
+        assert sorted(map(str, ((r.g, r.id, r.p) for r in got.collect()))) == sorted(map(str, expected))
+    empty = series.previous(df.filter("false"), ["g"], ["at", "id"], "v", _hours(F.col("at")), "p", 50)
+    assert empty.count() == 0
+
+
+def test_pieces_are_bounded_for_any_size(spark):
+    df = spark.range(20_000).select(F.lit("hot").alias("g"), F.lit(0).alias("_step"), F.col("id"))
+    bounds = series.splitters(df, ["g", "_step"], ["id"], 10).first()._bounds
+    assert len(bounds) == series.PIECES - 1
+    places = [b.id for b in bounds]
+    assert max(b - a for a, b in zip([0, *places], [*places, 20_000])) < 3 * 20_000 / series.PIECES
+
+
 @pytest.mark.parametrize("slice_rows", [5, 100, 10_000])
 def test_ranked(walk, slice_rows):
     rows, df = walk
