@@ -33,6 +33,8 @@ TEXT_AT_ONCE = 1 << 20
 _patterns = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _weights = np.array([DECAY ** (b + 1 - 3) for _, b in _patterns])
 _spelled = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+#: The last two letters of such a run: quicker to look for, and rare in ordinary text.
+_spelled_end = re.compile(r"[ \t]\S[ \t]\S(?!\S)")
 _inner = re.compile(r"[\W\d_]+")
 
 
@@ -40,7 +42,8 @@ def tokens(text: str) -> list[str]:
     """Distinct words of a text in lower case; letters set apart by single spaces are also read together."""
     text = text.lower()
     found = text.split()
-    found += ["".join(run.split()) for run in _spelled.findall(text)]
+    if _spelled_end.search(text):
+        found += ["".join(run.split()) for run in _spelled.findall(text)]
     return list(set(found))
 
 
@@ -163,8 +166,17 @@ class Scorer:
             self.known, self.held, new = {}, 0, list(words)
         self.held += sum(map(len, new))
         self.learn(sorted(new, key=len))
-        known = self.known
-        return [max(((known[w], w) for w in part), default=(-np.inf, "")) for part in parts]
+        return [self.worst(part) for part in parts]
+
+    def worst(self, words: list[str]) -> tuple[float, str]:
+        """Highest margin of known words and the word that has it, the last in order of those that tie."""
+        if not words:
+            return -np.inf, ""
+        margins = [self.known[w] for w in words]
+        highest = max(margins)
+        if margins.count(highest) == 1:
+            return highest, words[margins.index(highest)]
+        return highest, max(w for w, margin in zip(words, margins) if margin == highest)
 
 
 def _scorer(weights: bytes) -> Scorer:
