@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carestrata.plans.session import shared_folder
+
 # The mapping's column expressions, table by table.
 COLUMNS: dict[str, dict[str, str]] = {
     "patients": {
@@ -158,7 +160,8 @@ def _treatments(base) -> DataFrame:
 class ClinicalViews(Mapping):
     """The nine tables by name, each built when first asked for.
 
-    A streaming ``events`` gives streaming labs and adverse events.
+    Treatments are joined and grouped from the largest tables, and three more tables are made of them: they are written
+    to the shared folder once and read from there. A streaming ``events`` gives streaming labs and adverse events.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, events: DataFrame | None = None):
@@ -168,7 +171,7 @@ class ClinicalViews(Mapping):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             if name == "treatments":
-                self._built[name] = _treatments(self.base)
+                self._built[name] = self._written(_treatments(self.base))
             else:
                 self._built[name] = getattr(self, f"_from_{name}")().select(*_expressions(name))
         return self._built[name]
@@ -184,6 +187,11 @@ class ClinicalViews(Mapping):
             return self._events
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
+    def _written(self, df: DataFrame) -> DataFrame:
+        folder = shared_folder(self._spark)
+        df.write.mode("overwrite").parquet(folder)
+        return self._spark.read.schema(df.schema).parquet(folder)
+
     def _from_patients(self) -> DataFrame:
         return self.base("customer")
 
