@@ -53,7 +53,8 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], step: C
     cell = [*group, "_step"]
     hot = hot_groups(df if sized_by is None else sized_by, group, slice_rows)
     inside = Window.partitionBy(*cell)
-    rows = (_in_steps(df, hot, group, step, "left")
+    # hot groups are at most one per ``slice_rows`` rows; rows move once, to their cell, before digests widen them
+    rows = (_in_steps(df, F.broadcast(hot), group, step, "left").repartition(*cell)
             .withColumn("_row", F.row_number().over(inside.orderBy(*order)) - 1))
     across = Window.partitionBy(*group)
     earlier = across.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carestrata.functions.series import SLICE_ROWS, id_digest, id_slice, ranked
+from carestrata.functions.series import SLICE_ROWS, hot_groups, id_digest, id_slice, ranked
 from carestrata.operators.demographics import demographics
 from carestrata.operators.encounters import encounter_history
 from carestrata.operators.safety import ae_history
@@ -68,20 +68,28 @@ def patient_profiles(tables: dict[str, DataFrame], as_of, page_size: int = 500,
     """patient_id, page, demographics, and one array of structs per tab, newest first.
 
     A tab with more than ``page_size`` entries continues on the next page, so no row grows without
-    bound and nothing is left out. Page 0 exists for every patient and carries the demographics.
+    bound and nothing is left out. Page 0 exists for every patient and carries the demographics. Whether any tab is
+    above ``slice_rows`` is counted when this is called.
     """
-    # newest day first; a patient with very many entries is numbered by day and slice of the keys
-    undated = F.lit(1 << 31)
-    newest_first = F.coalesce(-F.unix_date("day").cast("bigint"), undated) * 65_536 + F.coalesce(id_slice("key"), F.lit(-1))
-    entries = ranked(_entries(tables), ["patient_id", "tab"],
-                     [F.desc_nulls_last("day"), id_digest("key"), F.asc("key")],
-                     newest_first, slice_rows=slice_rows, sized_by=_members(tables))
-    paged = entries.withColumn("page", F.floor(F.col("position") / page_size).cast("int"))
+    group, order = ["patient_id", "tab"], [F.desc_nulls_last("day"), id_digest("key"), F.asc("key")]
+    entries, members = _entries(tables), _members(tables)
     person = demographics(tables["patients"], as_of)
-    person = person.select("patient_id", F.lit(0).alias("page"), F.struct(
+    person = person.select("patient_id", F.struct(
         *[c for c in person.columns if c != "patient_id"]).alias("demographics"))
-    everything = person.unionByName(
-        paged.select("patient_id", "page", "position", *TABS), allowMissingColumns=True)
+    page = F.floor(F.col("position") / page_size).cast("int")
+    if hot_groups(members, group, slice_rows).take(1):
+        # newest day first; a patient with very many entries is numbered by day and slice of the keys
+        undated = F.lit(1 << 31)
+        newest_first = F.coalesce(-F.unix_date("day").cast("bigint"), undated) * 65_536 + F.coalesce(id_slice("key"), F.lit(-1))
+        entries = ranked(entries, group, order, newest_first, slice_rows=slice_rows, sized_by=members)
+        everything = person.withColumn("page", F.lit(0)).unionByName(
+            entries.withColumn("page", page), allowMissingColumns=True)
+    else:
+        # no tab needs cutting: rows move once, to their patient, and are numbered and gathered there
+        whole = person.unionByName(entries, allowMissingColumns=True).repartition("patient_id")
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+        everything = whole.withColumn("position", place).withColumn(
+            "page", F.when(F.col("tab").isNotNull(), page).otherwise(F.lit(0)))
 
     def array_of(tab: str):
         numbered = F.collect_list(F.when(F.col(tab).isNotNull(), F.struct("position", tab)))
