@@ -38,8 +38,9 @@ def concurrent_treatments(treatments: DataFrame, as_of) -> DataFrame:
         (F.coalesce(F.sum("starts").over(before), F.lit(0))
          == F.coalesce(F.sum("ends").over(before), F.lit(0))).cast("int").alias("fresh"))
     counts = counts.withColumn("episode", F.sum("fresh").over(through))
-    at_start = counts.select("patient_id", F.col("day").alias("start_date"), "over", "episode")
-    at_end = counts.select("patient_id", F.col("day").alias("until"), "begun")
+    # file sizes tell little of how many days there are, so these are never held whole
+    at_start = counts.select("patient_id", F.col("day").alias("start_date"), "over", "episode").hint("merge")
+    at_end = counts.select("patient_id", F.col("day").alias("until"), "begun").hint("merge")
     return (courses.join(at_start, ["patient_id", "start_date"]).join(at_end, ["patient_id", "until"])
             .select("patient_id", "treatment_id", "treatment_name", "start_date", "until", "episode",
                     (F.col("begun") - F.col("over") - 1).alias("overlapping")))

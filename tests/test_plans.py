@@ -1,9 +1,15 @@
 """The physical plans: filters and columns reach the scan, nothing is multiplied out, no Python."""
 
+import re
+
 import pytest
 
+from pyspark.sql import functions as F
+
+from carestrata.functions.series import ranked
 from carestrata.operators import demographics, diagnoses, encounters, labs, providers, safety, treatments
 from carestrata.plans.catalog import CATALOG
+from carestrata.plans.session import configure
 from carestrata.sources.retail_mapping import clinical_views
 from carestrata.sources.tables import load_all, write_layout
 
@@ -64,3 +70,30 @@ def test_scorecard_children_are_summed_before_the_join(stored):
     assert plan.index("Join") < plan.index("partial_count") and "Expand" not in plan
     assert "Expand" not in _plan(treatments.efficacy_scorecard(
         stored["treatments"], stored["treatment_outcomes"], stored["adverse_events"]))
+
+
+def test_derived_tables_read_the_written_treatments(spark):
+    views = clinical_views(spark, "/root/testdata/sf0.001")
+    for name in ("treatments", "medications", "treatment_outcomes", "adverse_events"):
+        assert "lineitem.parquet" not in _plan(views[name])
+
+
+def test_profiles_move_their_entries_once(spark):
+    plan = re.sub(r"#\d+L?", "", _plan(CATALOG["patient_profiles"](clinical_views(spark, "/root/testdata/sf0.001"))))
+    assert plan.count("Exchange hashpartitioning(patient_id") == 1 and "hashpartitioning(patient_id, page" not in plan
+
+
+def test_ranked_rows_move_once_to_their_cell(spark):
+    rows = spark.range(100).selectExpr("id % 3 as g", "id")
+    plan = re.sub(r"#\d+L?", "", _plan(ranked(rows, ["g"], [F.asc("id")], F.col("id"), slice_rows=5)))
+    assert plan.count("REPARTITION_BY_COL") == 1 and "Exchange hashpartitioning(g, _step" in plan
+
+
+def test_days_of_treatments_are_never_held_whole(spark):
+    plan = re.sub(r"#\d+L?", "", _plan(CATALOG["comorbid_overlaps"](clinical_views(spark, "/root/testdata/sf0.001"))))
+    assert "SortMergeJoin [patient_id, until]" in plan and "SortMergeJoin [patient_id, start_date]" in plan
+
+
+def test_tables_that_tasks_build_are_small(spark):
+    configure(spark)
+    assert spark.conf.get("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold") == "4MB"
