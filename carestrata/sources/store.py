@@ -144,27 +144,38 @@ class ClinicStore:
         writer = ranged.sortWithinPartitions(*keys).write.mode("errorifexists")
         (writer.partitionBy(*parts) if parts else writer).parquet(path)
 
-    def _checked(self, name: str, written: DataFrame, enforce: Iterable[str]) -> int:
-        """All constraints in one job, a count of violations each; gives the number of rows."""
+    def _violations(self, name: str, written: DataFrame, enforce: Iterable[str]) -> DataFrame:
+        """How many rows there are and how many violations of each constraint: (n, what). Keys are moved once."""
         table = TABLES[name]
 
-        def violations(rows: DataFrame, what: str) -> DataFrame:
-            return rows.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(what).alias("what"))
+        def violations(rows: DataFrame, counted: dict[str, Column]) -> DataFrame:
+            """One row per count, all of them from one pass over the rows."""
+            names = {f"n{i}": what for i, what in enumerate(counted)}
+            return rows.agg(*[n.alias(c) for c, n in zip(names, counted.values())]).select(F.explode(F.array(*[
+                F.struct(F.coalesce(F.col(c), F.lit(0)).alias("n"), F.lit(what).alias("what"))
+                for c, what in names.items()])).alias("m")).select("m.*")
 
-        filled = [table.key, *table.required]
-        missing = written.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in filled]).select(F.explode(F.array(*[
-            F.struct(F.col(c).alias("n"), F.lit(f"rows without {c}").alias("what")) for c in filled])).alias("m")).select("m.*")
-        keys = written.groupBy(table.key).agg(F.count(F.lit(1)).alias("n"))
-        found = violations(written, "rows").union(missing).union(violations(keys.filter("n > 1"), f"values of {table.key} are repeated"))
+        found = violations(written, {"rows": F.count(F.lit(1))} | {
+            f"rows without {c}": F.count_if(F.col(c).isNull()) for c in [table.key, *table.required]})
+        keys = written.select(table.key, F.lit(1).alias("new"), F.lit(0).alias("old"))
         if self.commits(name):
-            taken = written.join(self.table(name).select(table.key), table.key, "left_semi")
-            found = found.union(violations(taken, f"rows with a {table.key} that is taken"))
+            keys = keys.union(self.table(name).select(table.key, F.lit(0), F.lit(1)))
+        keys = keys.groupBy(table.key).agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
+        found = found.union(violations(keys, {
+            f"values of {table.key} are repeated": F.count_if(F.col("new") > 1),
+            f"rows with a {table.key} that is taken": F.sum(F.when((F.col("old") > 0) & F.col(table.key).isNotNull(), F.col("new")))}))
         for column in enforce:
             parent, key = table.references[column]
-            wanted = written.select(F.col(column).alias(key)).filter(F.col(key).isNotNull())
+            # rows are counted per reference before the shuffle: files hold a patient's rows together
+            wanted = (written.select(F.col(column).alias(key)).filter(F.col(key).isNotNull())
+                      .groupBy(key).agg(F.count(F.lit(1)).alias("n")))
             orphans = wanted.join(self.table(parent).select(key), key, "left_anti")
-            found = found.union(violations(orphans, f"rows with a {column} that is not in {parent}"))
-        counts = {row["what"]: row["n"] for row in found.filter("n > 0").collect()}
+            found = found.union(violations(orphans, {f"rows with a {column} that is not in {parent}": F.sum("n")}))
+        return found
+
+    def _checked(self, name: str, written: DataFrame, enforce: Iterable[str]) -> int:
+        """All constraints in one job; gives the number of rows."""
+        counts = {row["what"]: row["n"] for row in self._violations(name, written, enforce).filter("n > 0").collect()}
         rows = counts.pop("rows", 0)
         if counts:
             raise ConstraintError(f"{name}: " + "; ".join(f"{n} {what}" for what, n in counts.items()))

@@ -146,3 +146,14 @@ def test_a_null_date_is_kept_and_never_in_a_window(spark, tmp_path, clinic):
     assert store.append("treatment_outcomes", event, "a", enforce=("patient_id",)) == 1
     assert store.load("treatment_outcomes", since="2025-01-01", until="2025-01-01").count() == 1
     assert store.load("treatment_outcomes", since="2025-01-02").count() == 0
+
+
+def test_keys_are_moved_once(store, spark):
+    written = lab(spark, "x1", patient_id="nobody").union(lab(spark, "x2", patient_id="nobody")).union(lab(spark, "x2"))
+    found = store._violations("lab_results", written, ["patient_id"])
+    counts = {r.what: r.n for r in found.collect()}
+    assert counts["rows"] == 3 and counts["values of lab_id are repeated"] == 1
+    assert counts["rows with a lab_id that is taken"] == 0
+    assert counts["rows with a patient_id that is not in patients"] == 2
+    plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString()).split("== Initial Plan ==")[-1]
+    assert plan.count("hashpartitioning(lab_id") == 1
