@@ -208,6 +208,45 @@ def test_crowded_blocks_and_repeated_rows(spark):
     assert found[200] == [0] and found[201] == [1] and found[None] == [0] and found[300] == [0, 0]
 
 
+@pytest.mark.parametrize("part", [256, 3])
+def test_groups_of_a_crowded_block_meet_in_all_near_pairs(spark, monkeypatch, part):
+    """Only q and s link the two groups, and the line nearest to each by SimHash in the other group is another one."""
+    monkeypatch.setattr(fuzzy_lines, "PART", part, raising=False)
+    base, far = words(20, 31), -1 << 32
+    changed = lambda line, at: [f"z{w[1:]}" * 2 if at <= i < at + 3 else w for i, w in enumerate(line)]
+    q, s = base, changed(base, 0)
+    named = [(0b000, q, 100), (0b110, changed(q, 6), 100), (0b111, s, 101), (0b001, changed(s, 12), 101)]
+    named += [(far, words(20, 500 + n), None) for n in range(40)]
+    lines = [(n, n, 0, 0, (n, 0), sim, len(" ".join(w)), 7, other, None, None, None, None)
+             for n, (sim, w, other) in enumerate(named)]
+    distinct = spark.createDataFrame(lines, "doc_id long, n long, t long, place int, line struct<k1:long,k2:long>, sim long, "
+                                     "size int, " + ", ".join(f"h{i} long" for i in range(6))).drop("n")
+    source = spark.createDataFrame([(n, 0, " ".join(w)) for n, (_, w, _) in enumerate(named)], "doc_id long, t long, text string")
+    found = fuzzy_lines.line_groups(Workspace(spark), source, distinct, 0.8).collect()
+    assert {r.node.k1: r.label.k1 for r in found} == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert len(found) == 4
+
+
+def test_many_pairs_at_once_against_one_by_one(monkeypatch):
+    random = np.random.default_rng(9)
+    xs, ys = [], []
+    for n in range(600):
+        x = random.choice(list("abcdé漢 🙂"), random.integers(0 if n % 9 == 0 else 1, 400)).tolist()
+        y = list(x)
+        for _ in range(int(random.integers(0, 2 + len(x) // 3))):
+            at = int(random.integers(0, len(y) + 1))
+            y[at:at + int(random.integers(0, 2))] = ["q"] * int(random.integers(0, 2))
+        xs.append("".join(x))
+        ys.append("".join(y))
+    xs, ys = xs + ["", "a" * 500], ys + ["", "b" * 500]
+    for similarity in (0.5, 0.8, 0.95):
+        most = [int(max(len(x), len(y)) * (1 - similarity) + 1e-6) for x, y in zip(xs, ys)]
+        want = [fuzzy_lines.edit_distance(x, y, k) <= k for x, y, k in zip(xs, ys, most)]
+        for singly in (32, 0):
+            monkeypatch.setattr(fuzzy_lines, "SINGLY", singly)
+            assert fuzzy_lines.close_pairs(xs, ys, similarity).tolist() == want
+
+
 def test_edit_distance_against_the_whole_table():
     def table(x, y):
         row = list(range(len(y) + 1))
