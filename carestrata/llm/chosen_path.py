@@ -19,6 +19,8 @@ from carestrata.llm.tables import Workspace, components, joined, picked, same
 
 COORDINATES = 64
 COLUMNS_AT_ONCE = 2048
+#: Bytes of written doc_ids that pass through the driver to every task; about 250,000 ids, whatever the input.
+IDS_BYTES = 2 << 20
 #: Standard deviations that the agreement of two signatures may fall short of the similarity asked for: a pair at
 #: the similarity itself is lost with a probability below 1e-8.
 SLACK = 6.0
@@ -312,7 +314,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # whole sets only of those that a signature puts near another
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct()
     wanted = work.cut(nodes.join(classes.select("node", "first_id"), "node").select("first_id").distinct())
-    texts = (joined(source, wanted, same(F.col("doc_id"), F.col("first_id")), "left_semi").select("text")
+    texts = (joined(source, wanted, same(F.col("doc_id"), F.col("first_id")), "left_semi", IDS_BYTES).select("text")
              .mapInArrow(_whole_sets(size), "node struct<k1:long,k2:long>, members binary"))
     sets = work.cut(texts.groupBy("node").agg(F.first("members").alias("members")))
 

@@ -71,6 +71,25 @@ def test_near_duplicates(docs, nothing):
     assert chosen_path.near_duplicates(nothing).count() == 0
 
 
+def test_many_wanted_ids_do_not_pass_through_the_driver(docs, monkeypatch):
+    """Beyond IDS_BYTES no join of whole texts has its ids broadcast, and the result is the same."""
+    plans, plain = [], chosen_path.joined
+
+    def seen(*args):
+        plans.append(plain(*args))
+        return plans[-1]
+
+    def rows():
+        return sorted(map(str, chosen_path.near_duplicates(docs, size=3, percent=85).collect()))
+
+    want = rows()
+    monkeypatch.setattr(chosen_path, "IDS_BYTES", 0, raising=False)
+    monkeypatch.setattr(chosen_path, "joined", seen)
+    assert rows() == want
+    found = [p._jdf.queryExecution().sparkPlan().toString() for p in plans]
+    assert found and not any("Broadcast" in p for p in found)
+
+
 def test_crowded_leaves_are_compared_in_tiles(spark):
     random = np.random.default_rng(3)
     rows = []
