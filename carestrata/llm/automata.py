@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carestrata.llm import hashing
+from carestrata.llm import hashing, memory
 from carestrata.llm.tables import Workspace, joined, same
 
 ANCHOR = 5
@@ -110,6 +110,7 @@ def _anchors(window: int):
     span = window - ANCHOR + 1
 
     def run(batches):
+        memory.give_back()
         for batch in batches:
             for row, data, offsets in hashing.pieces(batch.column(2)):
                 starts, ends, first = hashing.words(data, offsets)
@@ -217,6 +218,7 @@ def _windows(window: int):
 
 
 def _cut(batches):
+    memory.give_back()
     for batch in batches:
         texts, whole, spans = batch.column("text"), batch.column("copied"), batch.column("spans")
         counts, removed, kept = [], [], []

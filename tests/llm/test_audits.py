@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from carestrata.llm import cuckoo, merkle, source_stripes
+from carestrata.llm import cuckoo, memory, merkle, source_stripes
 from carestrata.llm.queries import ORACLE, QUERIES
 from carestrata.llm.tables import Workspace
 from tests.comparing import assert_same, database
@@ -238,6 +238,14 @@ def test_manifest_of_one_language(spark, n):
     assert len({r.root for r in lone}) <= 1 and all(r.verified for r in lone)
 
 
+def test_freed_memory_goes_back_before_another_thing_is_made(monkeypatch):
+    calls = []
+    monkeypatch.setattr(memory, "_kept", {})
+    monkeypatch.setattr(memory, "give_back", lambda: calls.append(list(memory._kept)))
+    assert [memory.only(key, lambda: key) for key in ("a", "a", "b")] == ["a", "a", "b"]
+    assert calls == [[], []]
+
+
 def test_a_worker_keeps_one_thing_at_a_time():
     from carestrata.llm import memory
     made = []
