@@ -37,6 +37,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def gather(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``table`` one behind the other."""
+    ends = np.cumsum(lengths)
+    at = np.repeat(starts - ends + lengths, lengths)
+    at += np.arange(len(at))
+    return table[at]
+
+
 class MergeReplay:
     """Merges of one rank table, replayed over many words at once."""
 

@@ -19,25 +19,22 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from carestrata.llm.memory import only
-from carestrata.llm.merge_replay import batches_of
+from carestrata.llm.memory import give_back, only
+from carestrata.llm.merge_replay import gather
 from carestrata.llm.tables import picked
 
-REMEMBERED = 500_000
+#: Words a worker remembers and their bytes; beyond it the memory is emptied, results stay the same.
+REMEMBERED, REMEMBERED_BYTES = 350_000, 6_000_000
 TIERS = (2048, 1024, 512, 256)
 #: Tokens gathered before a round of packing; bounds a worker's memory.
 ROUND_TOKENS = 2_000_000
+#: Bytes of text coded at once; a longer text is coded alone.
+CODED_BYTES = 3 << 20
 
 # letters without special case rules: a run of them is one piece, with or without the stop behind it
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
-def _gather(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The stretches of ``table`` one behind the other."""
-    ends = np.cumsum(lengths)
-    return table[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 class WordCoder:
     """Ids of whole texts by a tokenizer that drops white space, remembering the words it has met.
 
@@ -59,6 +56,7 @@ class WordCoder:
         self.numbers: dict[str, int] = {}
         self.table = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
+        self.held = 0
         self._learn([], ["", ".", ","])
 
     def _learn(self, letters: list[str], other: list[str]) -> None:
@@ -74,8 +72,8 @@ class WordCoder:
                 raise ValueError("a word of letters is more than one piece to this tokenizer")
             ids.append(found)
             ends.append(stops + ends[-1][-1])
-        if other:
-            found = [e.ids for e in self.tool.encode_batch_fast(other, add_special_tokens=False)]
+        for at in range(0, len(other), 5_000):
+            found = [e.ids for e in self.tool.encode_batch_fast(other[at:at + 5_000], add_special_tokens=False)]
             ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
             ends.append(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + ends[-1][-1])
         count = len(self.numbers)
@@ -88,18 +86,19 @@ class WordCoder:
         numbers = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
         new = numbers < 0
         if new.any():
-            if len(self.numbers) + int(new.sum()) > REMEMBERED:
+            if len(self.numbers) + int(new.sum()) > REMEMBERED or self.held > REMEMBERED_BYTES:
                 self._forget()
                 known = np.fromiter((w in self.numbers for w in words), bool, len(words))
                 new = ~known
+            self.held += int(pc.sum(pc.binary_length(bases.filter(pa.array(new)))).as_py() or 0)
             plain = pc.match_substring_regex(bases, f"^{_LETTERS}$").to_numpy(zero_copy_only=False)
             self._learn([words[i] for i in np.flatnonzero(new & plain)], [words[i] for i in np.flatnonzero(new & ~plain)])
             numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         return numbers
 
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
+    def texts(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         # only ASCII white space splits here; whatever else a word holds, the tokenizer sees it whole
-        parts = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         found = parts.flatten().dictionary_encode()
         words = found.dictionary
         plain = pc.match_substring_regex(words, f"^{_LETTERS}[.,]?$")
@@ -109,10 +108,10 @@ class WordCoder:
         # two stretches of the table for each distinct word, then one stretch of ids for each word of the texts
         both = np.stack((base, stop), 1).ravel()
         sizes = np.diff(self.starts)[both]
-        coded = _gather(self.table, self.starts[both], sizes)
+        coded = gather(self.table, self.starts[both], sizes)
         lengths = sizes.reshape(-1, 2).sum(axis=1)
         at = found.indices.to_numpy()
-        ids = _gather(coded, (np.cumsum(lengths) - lengths)[at], lengths[at])
+        ids = gather(coded, (np.cumsum(lengths) - lengths)[at], lengths[at])
         bounds = np.r_[0, np.cumsum(lengths[at])][parts.offsets.to_numpy()]
         return [ids[lo:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
@@ -195,6 +194,16 @@ def coder(path: str) -> WordCoder:
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_size", "step_group"]
 
 
+def _runs(column: pa.Array):
+    """A column of texts (null: empty) in runs of whole texts of up to CODED_BYTES: (first row, texts)."""
+    ends, first = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)), 0
+    while first < len(column):
+        begun = ends[first - 1] if first else 0
+        stop = max(int(np.searchsorted(ends, begun + CODED_BYTES, "right")), first + 1)
+        yield first, column.slice(first, stop - first).fill_null("").cast(pa.string())
+        first = stop
+
+
 def _rows(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, with_ids: bool):
     def table(pieces: list) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in FIELDS]
@@ -215,8 +224,7 @@ def _rows(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, with
         packer = Packer(tiers, TaskContext.get().partitionId() << 33, step_tokens)
         pieces: list = []
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, some in batches_of(texts, 6 << 20):
+            for first, some in _runs(batch.column(1)):
                 for i, ids in enumerate(tool.texts(some)):
                     tokens = np.append(ids, np.uint32(end_id))
                     pieces += packer.add(_Document((batch.column(0)[first + i].as_py(), tokens)), len(tokens))
@@ -228,6 +236,8 @@ def _rows(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, with
         pieces += packer.finish()
         if pieces:
             yield table(pieces)
+        pieces = []
+        give_back()
     return run
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -355,6 +356,36 @@ def test_packing(docs, nothing):
     assert tier_packing.pack(nothing, WORDS).count() == 0
 
 
+def test_packing_holds_a_bounded_part_of_the_text(monkeypatch):
+    random, sizes, coded = np.random.default_rng(8), [], tier_packing.WordCoder.texts
+    texts = [" ".join(words(20_000, n)) for n in range(50)] + [None, "", "w" * 4_000_000, "a É 漢. " * 100]
+
+    def measured(self, some):
+        sizes.append([len((t if isinstance(t, str) else t.as_py()).encode()) for t in some])
+        return coded(self, some)
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(tier_packing.WordCoder, "texts", measured)
+    monkeypatch.setattr(tier_packing, "TaskContext", Task)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    found = pa.Table.from_batches(tier_packing._rows(WORDS, 1, tier_packing.TIERS, 65_536, False)([batch])).to_pandas()
+    assert all(len(some) == 1 or sum(some) <= 3 << 20 for some in sizes)
+    whole = Tokenizer.from_file(WORDS)
+    want = [len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    assert found.groupby("doc_id")["length"].sum().tolist() == want
+
+    # words are forgotten by their bytes, long before there are many of them
+    monkeypatch.setattr(tier_packing, "REMEMBERED_BYTES", 20_000)
+    coder = tier_packing.WordCoder(WORDS)
+    for n in range(20):
+        text = " ".join("".join(random.choice(list("abcdeé"), 2_000)) for _ in range(5))
+        assert coder.texts([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert coder.held <= 40_000 and sum(map(len, coder.numbers)) <= 40_000
+
+
 def test_toxicity(spark, docs, nothing):
     random, rows, labels = np.random.default_rng(4), [], []
     for i in range(400):
