@@ -267,6 +267,17 @@ def test_many_pairs_at_once_against_one_by_one(monkeypatch):
             assert fuzzy_lines.close_pairs(xs, ys, similarity).tolist() == want
 
 
+def test_pairs_of_different_lengths_are_verified_together(monkeypatch):
+    random, calls, together = np.random.default_rng(3), [], fuzzy_lines._together
+    monkeypatch.setattr(fuzzy_lines, "_together", lambda *a: calls.append(len(a[0])) or together(*a))
+    xs = ["".join(random.choice(list("abcdef "), 100 + n)) for n in range(190)]
+    ys = [x[:n % 40] + x[n % 40 + n % 30:] + "z" * (n % 17) for n, x in enumerate(xs)]
+    most = [int(max(len(x), len(y)) * (1 - 0.8) + 1e-6) for x, y in zip(xs, ys)]
+    want = [fuzzy_lines.edit_distance(x, y, k) <= k for x, y, k in zip(xs, ys, most)]
+    assert fuzzy_lines.close_pairs(xs, ys, 0.8).tolist() == want and 0 < sum(want) < len(want)
+    assert len(calls) == 1
+
+
 def test_edit_distance_against_the_whole_table():
     def table(x, y):
         row = list(range(len(y) + 1))
