@@ -1,8 +1,9 @@
 """Byte-level BPE by replaying merges over the vocabulary of a corpus shard.
 
 Encoding depends only on the distinct pieces of the texts. Each task gathers the pieces it has not met, lays their
-bytes out in one array, keeps an inverted index from token pair to positions, and applies merges in rank order
-wherever they occur; only the two neighbours of a merged position get new pairs. Texts are then looked up.
+bytes out in one array beside the ranks of neighbouring pairs, and replays the merges of all pieces at once: in one
+step each piece makes its merge of lowest rank, leftmost first, and only the two neighbours of a merged position get
+new pairs. Texts are then looked up.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import base64
 import hashlib
 import re
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,12 @@ from carestrata.llm.tables import picked
 REMEMBERED = 6_000_000
 #: Longer stretches and pieces are not remembered.
 LONGEST_REMEMBERED = 100
+#: Pieces replayed at once, whose arrays stay within a core's cache; longer pieces are replayed one by one.
+PIECES, LONG = 20_000, 256
+#: Ids decoded at once.
+DECODED = 1 << 16
+#: The rank of a pair that does not merge.
+NONE = np.iinfo(np.int32).max
 
 # A stretch is white space and what follows up to the next white space. No match of the piece pattern runs from
 # a non-space into ASCII white space, so stretches can be split into pieces one by one.
@@ -50,131 +57,145 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
-
-    def rank(self, left: int, right: int) -> int:
-        """Rank of the token the pair merges to, -1 if there is none."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return found
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        # of bytes: most pairs ever asked for
+        self.of_bytes = self.pair_ranks(np.repeat(self.single, 256), np.tile(self.single, 256))
+        tokens = dict(sorted((rank, token) for token, rank in ranks.items()))
+        self.lengths = np.zeros(max(tokens) + 1, np.int64)
+        self.lengths[list(tokens)] = list(map(len, tokens.values()))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens.values()), np.uint8)
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the tokens that the pairs merge to, NONE where there is none."""
+        if not len(self.keys):
+            return np.full(len(left), NONE, np.int32)
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], np.int32(NONE))
 
     def one(self, word: bytes) -> list[int]:
         """The merges of a single word, lowest rank and leftmost first."""
-        ids = [self.single[b] for b in word]
-        n = len(ids)
+        ids, n = self.single[np.frombuffer(word, np.uint8)].tolist(), len(word)
+        token, ranks = [word[i:i + 1] for i in range(n)], self.ranks
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i) for i in range(n - 1) if (r := self.rank(ids[i], ids[i + 1])) >= 0]
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
         heapify(heap)
         while heap:
             r, i = heappop(heap)
             j = after[i] if alive[i] else n
-            if j >= n or self.rank(ids[i], ids[j]) != r:
+            if j >= n or ranks.get(token[i] + token[j]) != r:
                 continue
-            ids[i], alive[j] = r, False
+            ids[i], token[i], alive[j] = r, token[i] + token[j], False
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (s := self.rank(r, ids[k])) >= 0:
+                if (s := ranks.get(token[i] + token[k])) is not None:
                     heappush(heap, (s, i))
-            if (k := before[i]) >= 0 and (s := self.rank(ids[k], r)) >= 0:
+            if (k := before[i]) >= 0 and (s := ranks.get(token[k] + token[i])) is not None:
                 heappush(heap, (s, k))
         return [x for x, there in zip(ids, alive) if there]
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word."""
-        if len(self.pairs) > 1_000_000:
-            self.pairs.clear()
-        ranks, rank, known = self.ranks, self.rank, self.pairs.get
-        out: list = [None] * len(words)
-        split = []
-        for w, word in enumerate(words):
-            if (whole := ranks.get(word)) is not None:
-                out[w] = [whole]
-            else:
-                split.append(w)
-        lengths = np.array([len(words[w]) + 1 for w in split], np.int64)
-        ends = np.cumsum(lengths)
-        n = int(ends[-1]) if split else 0
-        start_ids = np.full(n, -1, np.int64)
-        inside = np.ones(n, bool)
-        inside[ends - 1] = False
-        start_ids[inside] = np.array(self.single)[np.frombuffer(b"".join(words[w] for w in split), np.uint8)]
-        owner = np.repeat(np.array(split, np.int64), lengths)
-        # the inverted index: rank of a mergeable pair to the positions of its left tokens
-        at = np.flatnonzero(inside[:-1] & inside[1:])
-        codes, code = np.unique(start_ids[at] << 32 | start_ids[at + 1], return_inverse=True)
-        rank_of = np.array([rank(c >> 32, c & 0xFFFFFFFF) for c in codes.tolist()], np.int64)[code] if len(at) else at
-        at, rank_of = at[rank_of >= 0], rank_of[rank_of >= 0]
-        by_rank = np.argsort(rank_of, kind="stable")
-        at, rank_of = at[by_rank], rank_of[by_rank]
-        cuts = np.flatnonzero(np.diff(rank_of)) + 1
-        where = {int(rank_of[lo]): at[lo:hi].tolist() for lo, hi in
-                 zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]) if hi > lo}
-        ids = start_ids.tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        order = list(where)
-        heapify(order)
-        backward: set[int] = set()
-        while order:
-            r = heappop(order)
-            positions = where.pop(r, None)
-            if positions is None:
-                continue
-            positions.sort()
-            for i in positions:
-                a = ids[i]
-                if a < 0:
-                    continue
-                j = after[i]
-                b = ids[j]
-                if b < 0 or known(a << 32 | b) != r:
-                    continue
-                k = after[j]
-                ids[i], ids[j] = r, -2
-                after[i] = k
-                before[k] = i
-                c = ids[k]
-                if c >= 0:
-                    s = known(r << 32 | c)
-                    if s is None:
-                        s = rank(r, c)
-                    if s >= 0:
-                        if s <= r:  # the merge would come before others of this rank: replay that word alone
-                            backward.add(int(owner[i]))
-                        if s in where:
-                            where[s].append(i)
-                        else:
-                            where[s] = [i]
-                            heappush(order, s)
-                h = before[i]
-                c = ids[h] if h >= 0 else -1
-                if c >= 0:
-                    s = known(c << 32 | r)
-                    if s is None:
-                        s = rank(c, r)
-                    if s >= 0:
-                        if s <= r:
-                            backward.add(int(owner[i]))
-                        if s in where:
-                            where[s].append(h)
-                        else:
-                            where[s] = [h]
-                            heappush(order, s)
-        start = 0
-        while start < n:
-            w, row, i = int(owner[start]), [], start
-            while ids[i] != -1:
-                row.append(ids[i])
-                i = after[i]
-            out[w] = row
-            start = i + 1
-        for w in backward:
-            out[w] = self.one(words[w])
-        return out
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words one behind the other, and how many each word has."""
+        parts = [self._replayed(words[at:at + PIECES]) for at in range(0, len(words), PIECES)]
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        ids, counts = zip(*parts)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _replayed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        whole = np.fromiter(map(self.ranks.get, words, repeat(-1)), np.int64, len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        one = np.flatnonzero(whole >= 0)
+        found = [(one, np.ones(len(one), np.int64), whole[one].astype(np.int32))]  # words, their numbers of ids, ids
+        for w in np.flatnonzero((whole < 0) & (sizes > LONG)).tolist():
+            ids = np.array(self.one(words[w]), np.int32)
+            found.append((np.array([w]), np.array([len(ids)]), ids))
+        split = np.flatnonzero((whole < 0) & (sizes > 0) & (sizes <= LONG))
+        raw = np.frombuffer(b"".join([words[w] for w in split.tolist()]), np.uint8)
+        owner, ids = np.repeat(split, sizes[split]), self.single[raw]
+        # beside each token the rank of its pair with the next one of the word
+        rank = np.full(len(ids), NONE, np.int32)
+        rank[:-1] = self.of_bytes[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        rank[np.cumsum(sizes[split]) - 1] = NONE
+        while len(ids):
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            lengths = np.diff(np.r_[first, len(ids)])
+            least = np.minimum.reduceat(rank, first)
+            done = least == NONE
+            if done.any():
+                out = np.repeat(done, lengths)
+                found.append((owner[first[done]], lengths[done], ids[out]))
+                owner, ids, rank = owner[~out], ids[~out], rank[~out]
+                lengths, least = lengths[~done], least[~done]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, lengths))
+            who = owner[at]
+            at = at[np.r_[True, who[1:] != who[:-1]]]
+            ids[at] = least
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            owner, ids, rank = owner[stay], ids[stay], rank[stay]
+            at -= np.arange(len(at))  # each word before has lost one token
+            for left in (at - 1, at):
+                beside = np.minimum(left + 1, len(ids) - 1)
+                own = (left >= 0) & (left + 1 < len(ids)) & (owner[left] == owner[beside])
+                rank[left[own]] = self.pair_ranks(ids[left[own]], ids[beside[own]])
+            rank[at[~own]] = NONE
+        who, counts, ids = (np.concatenate(x) for x in zip(*found))
+        starts, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[who], total[who] = np.cumsum(counts) - counts, counts
+        return gather(ids, starts, total), total
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        parts = (ids[at:at + DECODED] for at in range(0, len(ids), DECODED))
+        return b"".join(gather(self.bytes, self.starts[some], self.lengths[some]).tobytes() for some in parts)
+
+
+class Memory:
+    """Numbers of strings, and the ids of each by its number."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def number(self, keys: list[str]) -> np.ndarray:
+        """The number of each key, -1 where it is not known."""
+        return np.fromiter(map(self.numbers.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        known = len(self.numbers)
+        self.numbers.update(zip(keys, range(known, known + len(keys))))
+        self.ids = np.concatenate((self.ids, ids))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts)))
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these numbers one behind the other, and how many each has."""
+        starts = self.ends[numbers]
+        counts = self.ends[numbers + 1] - starts
+        return gather(self.ids, starts, counts), counts
+
+    def drop(self, keys: list[str]) -> None:
+        """Forget the keys that were added last."""
+        for key in keys:
+            del self.numbers[key]
+        self.ends = self.ends[:len(self.numbers) + 1].copy()
+        self.ids = self.ids[:self.ends[-1]].copy()
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``counts`` values."""
+    return np.diff(np.r_[0, np.cumsum(values)][np.r_[0, np.cumsum(counts)]])
 
 
 class Encoder:
@@ -187,46 +208,43 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, tuple] = {}
-        self.pieces: dict[bytes, list[int]] = {}
+        self.stretches, self.pieces = Memory(), Memory()
         self.held = 0
 
-    def _ids(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
-        """Ids of distinct pieces; only those not met before are replayed."""
-        fresh = [p for p in pieces if p not in self.pieces]
-        made = dict(zip(fresh, self.replay.encode(fresh)))
-        short = {p: ids for p, ids in made.items() if len(p) <= LONGEST_REMEMBERED}
-        self.pieces.update(short)
-        self.held += sum(map(len, short))
-        return made
+    def _learn(self, memory: Memory, keys: list[str], coded) -> tuple[np.ndarray, list[str]]:
+        """Numbers of the keys, those not known coded and added; and the keys too long to stay, which are last."""
+        numbers = memory.number(keys)
+        new = sorted(dict.fromkeys(compress(keys, (numbers < 0).tolist())), key=lambda k: len(k) > LONGEST_REMEMBERED)
+        if not new:
+            return numbers, []
+        memory.add(new, *coded(new))
+        at = np.flatnonzero(numbers < 0).tolist()
+        numbers[at] = memory.number([keys[i] for i in at])
+        long = [k for k in new if len(k) > LONGEST_REMEMBERED]
+        self.held += sum(map(len, new)) - sum(map(len, long))
+        return numbers, long
+
+    def _pieces(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stretches one behind the other, and how many each has; only pieces not met before are replayed."""
+        split = list(map(self.pattern.findall, stretches))
+        numbers, long = self._learn(self.pieces, list(chain.from_iterable(split)),
+                                    lambda new: self.replay.encode([p.encode() for p in new]))
+        ids, counts = self.pieces.take(numbers)
+        self.pieces.drop(long)
+        return ids, _sums(counts, np.fromiter(map(len, split), np.int64, len(split)))
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [[text] if _odd_space.search(text) else _stretch.findall(text) for text in texts]
         if self.held > REMEMBERED:
             self._forget()
-        known = self.known
-        new = list({s for part in parts for s in part if s not in known})
-        split = [[p.encode() for p in self.pattern.findall(s)] for s in new]
-        made = self._ids(list(dict.fromkeys(chain.from_iterable(split))))
-        pieces, once = self.pieces, {}
-
-        def ids(piece: bytes) -> list[int]:
-            found = pieces.get(piece)
-            return made[piece] if found is None else found
-
-        for stretch, own in zip(new, split):
-            coded = tuple(ids(own[0])) if len(own) == 1 else tuple(chain.from_iterable(map(ids, own)))
-            if len(stretch) <= LONGEST_REMEMBERED:
-                known[stretch] = coded
-                self.held += len(stretch)
-            else:
-                once[stretch] = coded
-        if not once:
-            return [np.fromiter(chain.from_iterable(map(known.__getitem__, part)), np.uint32) for part in parts]
-        return [np.fromiter(chain.from_iterable(once[s] if s in once else known[s] for s in part), np.uint32) for part in parts]
+        parts = [[text] if _odd_space.search(text) else _stretch.findall(text) for text in texts]
+        numbers, long = self._learn(self.stretches, list(chain.from_iterable(parts)), self._pieces)
+        ids, counts = self.stretches.take(numbers)
+        self.stretches.drop(long)
+        ends = np.cumsum(_sums(counts, np.fromiter(map(len, parts), np.int64, len(parts)))).tolist()
+        return [ids[lo:hi].astype(np.uint32) for lo, hi in zip([0, *ends], ends)]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.replay.tokens.__getitem__, ids.tolist()))
+        return self.replay.decode(ids)
 
 
 def encoder(path: str, pattern: str) -> Encoder:

@@ -308,6 +308,26 @@ def test_encoding_and_decoding(docs, nothing):
     assert [x.tolist() for x in merge_replay.Encoder(MULTI, PATTERN).texts(texts)] == [tool.encode_ordinary(t) for t in texts]
 
 
+def test_merges_of_many_pieces_are_replayed_together(monkeypatch):
+    random, steps, pair_ranks = np.random.default_rng(6), [], merge_replay.MergeReplay.pair_ranks
+    ranks = merge_replay.read_ranks(MULTI)
+    longer = [token for token in ranks if len(token) > 1]
+    # in shuffled order a merge often comes before the one that made it possible
+    shuffled = {t: r for t, r in ranks.items() if len(t) == 1} | dict(zip(longer, (256 + random.permutation(len(longer))).tolist()))
+    pieces = [random.bytes(int(n)) for n in random.integers(1, 40, 500)] + [" ".join(words(60, 7)).encode()] + [
+        "".join(random.choice(list("the and ing é漢"), 20)).encode() for _ in range(2_000)]
+    monkeypatch.setattr(merge_replay.MergeReplay, "pair_ranks", lambda self, *a: steps.append(1) or pair_ranks(self, *a))
+    for order in (ranks, shuffled):
+        replay = merge_replay.MergeReplay(order)
+        want = [[order[p]] if p in order else replay.one(p) for p in pieces]
+        steps.clear()
+        ids, counts = replay.encode(pieces)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+        # steps for the merges of the longest piece, not for all merges
+        assert len(steps) <= 2 * merge_replay.LONG < sum(len(p) - len(w) for p, w in zip(pieces, want)) / 10
+        assert replay.decode(ids) == b"".join(pieces)
+
+
 @pytest.mark.parametrize("rule", token_spans.RULES)
 def test_section_counts_add_up(docs, nothing, rule):
     found = token_spans.section_tokens(docs, ENGLISH, PATTERN, rule=rule)
