@@ -278,6 +278,21 @@ def test_pairs_of_different_lengths_are_verified_together(monkeypatch):
     assert len(calls) == 1
 
 
+def test_long_pairs_are_verified_together_and_without_their_common_ends(monkeypatch):
+    random, single, seen = np.random.default_rng(5), [], []
+    one, together = fuzzy_lines.edit_distance, fuzzy_lines._together
+    text = lambda n: "".join(random.choice(list("abcdef "), n))
+    xs = [text(1_500 + 20 * n) for n in range(60)]
+    ys = [x[:300] + text(int(random.integers(100, 700))) + x[800:] if n % 2 else text(len(x)) for n, x in enumerate(xs)]
+    ys[1] = xs[1][:200] + text(100) + xs[1][300:]  # a middle below the limit need not be looked at
+    most = [int(max(len(x), len(y)) * 0.2 + 1e-6) for x, y in zip(xs, ys)]
+    want = [one(x, y, k) <= k for x, y, k in zip(xs, ys, most)]
+    monkeypatch.setattr(fuzzy_lines, "edit_distance", lambda *a: single.append(a) or one(*a))
+    monkeypatch.setattr(fuzzy_lines, "_together", lambda a, b, k: seen.extend(a) or together(a, b, k))
+    assert fuzzy_lines.close_pairs(xs, ys, 0.8).tolist() == want and 0 < sum(want) < len(want) and want[1]
+    assert len(single) < 20 < len(seen) and not any(x[:300] == a[:300] for x in xs[1::2] for a in seen)
+
+
 def test_edit_distance_against_the_whole_table():
     def table(x, y):
         row = list(range(len(y) + 1))
