@@ -344,6 +344,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     seen = labels.select(labels[doc_id].alias("doc_id"), labels[label].alias("toxic")).filter(
         F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     model = fit(work, source, seen, sample_rows)
+    work.drop(*[frame for frame, _ in work.paths])
     if model is None:
         return source.select(F.col("doc_id").cast("long"), "held_out", F.lit(0.0).alias("score"),
                              F.lit(0).alias("predicted"), F.lit("").alias("worst_word"), "row")

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ from carestrata.llm import (
     automata, chosen_path, fuzzy_lines, merge_replay, scaled_sketch, string_kernel, text_density, tier_packing,
     token_spans, vptree)
 from carestrata.llm.tables import Workspace
+from carestrata.plans.session import shared_folder
 
 PATTERN = public_tokenizers.PATTERN
 MULTI, ENGLISH, WORDS = (public_tokenizers.path(n) for n in (
@@ -454,6 +456,14 @@ def test_toxicity(spark, docs, nothing):
         nothing, spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def test_training_leaves_no_tables(spark):
+    rows = [(i, " ".join(words(8, i) + ["nitwit"] * (i % 5 == 0)), int(i % 5 == 0)) for i in range(200)]
+    table, shared = spark.createDataFrame(rows, "doc_id long, text string, toxic int"), Path(shared_folder(spark)).parent
+    before = set(shared.glob("*/*"))
+    found = string_kernel.toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert set(shared.glob("*/*")) == before and found.filter("predicted = 1").count() == 40
+
+
 def test_short_texts_are_no_copies_of_each_other(spark):
     long = " ".join(words(30, 9))
     rows = [(1, 1, "nitwit"), (2, 1, "you blockhead"), (3, 1, ""), (4, 0, "hello"), (5, 0, long), (6, 0, long), (7, 1, long)]
