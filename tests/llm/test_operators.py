@@ -249,6 +249,36 @@ def test_groups_of_a_crowded_block_meet_in_all_near_pairs(spark, monkeypatch, pa
     assert len(found) == 4
 
 
+def test_a_text_of_a_crowded_block_goes_to_few_tiles(spark, monkeypatch):
+    """3,000 lines in two blocks are 12 times 256: each text is in two tiles of each block, not in twelve."""
+    def listed(batches):
+        for batch in batches:
+            rows = pa.StructArray.from_arrays([batch["key"], batch["key"]], ["k1", "k2"])
+            yield pa.RecordBatch.from_arrays([rows, rows], ["a", "b"])
+
+    monkeypatch.setattr(fuzzy_lines, "_across", lambda similarity: listed)
+    node = "struct<k1:long,k2:long>"
+    crowds = spark.createDataFrame([(key, (n, 0), (n, 0), 0, 9) for n in range(3000) for key in (7, 8)],
+                                   f"key long, line {node}, label {node}, sim long, size int")
+    texts = spark.createDataFrame([((n, 0), "some words") for n in range(3000)], f"line {node}, words string")
+    assert fuzzy_lines.links_across(Workspace(spark), crowds, texts, 0.8).count() <= 4 * 3000
+
+
+def test_pairs_of_tiles_that_need_no_verifying(monkeypatch):
+    """Letters that differ too much rule a pair out; one that shares two crowded blocks is verified in the lesser only."""
+    seen, close = [], fuzzy_lines.close_pairs
+    monkeypatch.setattr(fuzzy_lines, "close_pairs", lambda xs, ys, s: seen.extend(zip(xs, ys)) or close(xs, ys, s))
+    words_ = ["aaaa bbbb cccc dddd eeee", "aaaa bbbb cccc dddd eeef", "vvvv wwww xxxx yyyy zzzz", "é" * 24]
+    for keys, want in ([8], [(words_[0], words_[1])]), ([5, 8], []), ([8, 9], [(words_[0], words_[1])]):
+        seen.clear()
+        table = pa.table({
+            "key": [8] * 4, "i": pa.array([0] * 4, pa.int32()), "j": pa.array([0] * 4, pa.int32()),
+            "part": pa.array([0] * 4, pa.int32()), "l1": [1, 2, 3, 4], "l2": [0] * 4, "sim": [0] * 4,
+            "size": pa.array([24] * 4, pa.int32()), "words": words_, "keys": pa.array([keys] * 4, pa.list_(pa.int64()))})
+        assert fuzzy_lines.links_of_tiles(table, 0.8).num_rows == len(want)
+        assert seen == want
+
+
 def test_many_pairs_at_once_against_one_by_one(monkeypatch):
     random = np.random.default_rng(9)
     xs, ys = [], []
