@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carestrata.plans.session import shared_folder
+from carestrata.plans.session import release_shuffles, shared_folder
 from carestrata.sources.files import SharedFiles
 
 #: Text that goes to a Python worker at once; a batch of 10,000 very long documents would not fit.
@@ -43,8 +41,7 @@ class Workspace:
         for frame, path in [(f, p) for f, p in self.paths if any(f is x for x in frames)]:
             files.remove(path)
         self.paths = [(f, p) for f, p in self.paths if not any(f is x for x in frames)]
-        gc.collect()
-        self.spark._jvm.System.gc()
+        release_shuffles(self.spark)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,3 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
     if is_local(spark):
         return tempfile.mkdtemp(prefix="carestrata-")
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more; else they stay until it collects."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carestrata.plans.session import shared_folder
+from carestrata.plans.session import release_shuffles, shared_folder
 
 # The mapping's column expressions, table by table.
 COLUMNS: dict[str, dict[str, str]] = {
@@ -147,7 +147,7 @@ def _expressions(name: str) -> list:
 def _treatments(base) -> DataFrame:
     """Line items with a repeated (order, line) collapse into one treatment."""
     lines = (
-        base("lineitem")
+        base("lineitem").withColumn("l_shipdate", F.to_date("l_shipdate"))  # days order and move like the times, in less
         .join(base("part").select("p_partkey", "p_name", "p_type"),
               F.col("l_partkey") == F.col("p_partkey"))
         .join(base("orders").select("o_orderkey", "o_custkey"),
@@ -172,6 +172,7 @@ class ClinicalViews(Mapping):
         if name not in self._built:
             if name == "treatments":
                 self._built[name] = self._written(_treatments(self.base))
+                release_shuffles(self._spark)
             else:
                 self._built[name] = getattr(self, f"_from_{name}")().select(*_expressions(name))
         return self._built[name]
@@ -216,7 +217,9 @@ class ClinicalViews(Mapping):
     def _from_adverse_events(self) -> DataFrame:
         """Every event goes to the first treatment of an encounter among the first tenth."""
         tenth = self.base("orders").agg(F.floor(F.count("*") / 10).cast("bigint")).scalar()
-        first = self["treatments"].groupBy("encounter_id").agg(
+        # every event's encounter is below that number, so only those are moved
+        reached = self["treatments"].withColumn("n10", tenth).filter("encounter_id < n10 and encounter_id > -n10")
+        first = reached.groupBy("encounter_id").agg(
             *[F.min(c).alias(c) for c in ("treatment_id", "patient_id", "start_date")])
         return (self.base("events").withColumn("n10", tenth)
                 .withColumn("encounter_id", F.expr("(event_id * 7919) % n10"))

@@ -56,6 +56,27 @@ def test_patient_without_anything(clinic):
     assert [e.encounter_id for e in rows["p1"].encounters] == ["e3", "e2", "e1"]
 
 
+def test_treatments_move_once_for_outcomes_and_events(clinic):
+    """One read of the treatments for their entries, and the rows are those of the joins: with repeated and null
+    treatment ids, outcomes and events that name another patient, and children without a treatment."""
+    tables = dict(clinic)
+    strange = {"treatments": {"treatment_id": None}, "treatment_outcomes": {"patient_id": "p4"},
+               "adverse_events": {"patient_id": None}}
+    for name, change in strange.items():
+        table = clinic[name]
+        odd = table.select(*[F.lit(change[c]).cast(f.dataType).alias(c) if c in change else F.col(c)
+                             for c, f in zip(table.columns, table.schema)])
+        lost = table.withColumn("treatment_id", F.lit("nowhere"))
+        tables[name] = table.union(odd).union(table) if name == "treatments" else table.union(odd).union(lost)
+    moved = profile.patient_profiles(tables, "2025-08-01")
+    cut = profile.patient_profiles(tables, "2025-08-01", slice_rows=1)
+    for tab in profile.TABS:
+        assert rows_of(profile.profile_tab(moved, tab).drop("at")) == rows_of(profile.profile_tab(cut, tab).drop("at"))
+    assert rows_of(moved.select("patient_id", "page", "demographics")) == rows_of(cut.select("patient_id", "page", "demographics"))
+    leaves = profile.patient_profiles(clinic, "2025-08-01")._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("\n").splitlines()
+    assert len([leaf for leaf in leaves if "dosage#" in leaf or "treatment_name#" in leaf]) == 1
+
+
 def test_labels(clinic):
     labels = {r.node_id: r.label for r in graph.graph_nodes(clinic).collect()}
     assert labels["patient:p1"] == "Patient: Ida Holm"
