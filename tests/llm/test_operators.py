@@ -249,6 +249,23 @@ def test_groups_of_a_crowded_block_meet_in_all_near_pairs(spark, monkeypatch, pa
     assert len(found) == 4
 
 
+def test_spark_collects_only_small_tables_by_itself(spark):
+    """A written table of 4 MB is joined by shuffle, not through the driver; a limit set lower stays."""
+    key, was = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set(key, str(10 << 20))
+        work = Workspace(spark)
+        ids = work.cut(spark.range(500_000).select(F.xxhash64("id").alias("id")))
+        wide = work.cut(spark.range(2_000_000).select(F.xxhash64("id").alias("id"), F.xxhash64("id", "id").alias("x")))
+        plan = wide.join(ids, "id")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        spark.conf.set(key, "1000")
+        Workspace(spark)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_a_text_of_a_crowded_block_goes_to_few_tiles(spark, monkeypatch):
     """3,000 lines in two blocks are 12 times 256: each text is in two tiles of each block, not in twelve."""
     def listed(batches):
